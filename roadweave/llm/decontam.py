@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .host_rules import window_hashes
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
 #: Up to this many item shingles are tested as a set within each row.
@@ -36,8 +35,13 @@ BROADCAST_ROWS = 500_000
 
 
 def shingled(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns kept and ``h``, the hashes of the text's shingles by place. The words are bound
+    once: were they a column, a filter pushed below it would cut the text again at every place."""
     w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return df.select(*keep, w.alias("w")).select(*keep, window_hashes("w", SHINGLE).alias("h"))
+    places = lambda w: F.sequence(F.lit(0), F.size(w) - SHINGLE)
+    hashes = lambda w: F.transform(places(w), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(SHINGLE))))
+    h = F.transform(F.array(w), lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<bigint>")).otherwise(hashes(w)))
+    return df.select(*keep, F.get(h, F.lit(0)).alias("h"))
 
 
 def simhash(h: str) -> Column:

@@ -139,17 +139,17 @@ WITH d AS (
 ), met AS (
   SELECT rid, len, pos, item_id, n, g, c FROM ds JOIN bc USING (g)
 ), windows AS (
-  SELECT DISTINCT rid, len, item_id, n, least(pos, greatest(len - n, 0)) AS at FROM met
+  SELECT DISTINCT rid, len, item_id, n, least(pos, greatest(len - n, 0)) AS st FROM met
 ), shared AS (
-  SELECT w.rid, w.len, w.item_id, w.n, w.at, m.g, least(count(*), any_value(m.c)) AS o
-  FROM windows w JOIN met m ON m.rid = w.rid AND m.item_id = w.item_id AND m.pos >= w.at AND m.pos < w.at + w.n
-  GROUP BY w.rid, w.len, w.item_id, w.n, w.at, m.g
+  SELECT w.rid, w.len, w.item_id, w.n, w.st, m.g, least(count(*), any_value(m.c)) AS o
+  FROM windows w JOIN met m ON m.rid = w.rid AND m.item_id = w.item_id AND m.pos >= w.st AND m.pos < w.st + w.n
+  GROUP BY w.rid, w.len, w.item_id, w.n, w.st, m.g
 ), scored AS (
-  SELECT rid, item_id, at, sum(o) / (least(len, n) + n - sum(o)) AS s FROM shared GROUP BY rid, item_id, n, len, at
+  SELECT rid, item_id, st, sum(o) / (least(len, n) + n - sum(o)) AS s FROM shared GROUP BY rid, item_id, n, len, st
 ), best AS (
-  SELECT rid, item_id, at, s, row_number() OVER (PARTITION BY rid, item_id ORDER BY s DESC, at) AS r FROM scored WHERE s >= 0.8 - 1e-12
+  SELECT rid, item_id, st, s, row_number() OVER (PARTITION BY rid, item_id ORDER BY s DESC, st) AS r FROM scored WHERE s >= 0.8 - 1e-12
 )
-SELECT doc_id, item_id, round(s, 6) AS similarity, CAST(at AS BIGINT) AS window_start FROM best JOIN d USING (rid) WHERE r = 1
+SELECT doc_id, item_id, round(s, 6) AS similarity, CAST(st AS BIGINT) AS window_start FROM best JOIN d USING (rid) WHERE r = 1
 """
 
 #: The others are not expressible in SQL (hash functions, models, tokenizers, offsets of matches);

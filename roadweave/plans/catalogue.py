@@ -1,6 +1,29 @@
-"""All queries of the engine with their SQL."""
+"""All queries of the engine with their SQL, gathered from the groups beside this module."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import lattice
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of a Network under its name; its SQL continues the network's recipe
+    (from a comma, further tables; or else from the final SELECT)."""
+
+    def add(f: Callable[[lattice.Network], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lattice.Network(spark, sf_dir))
+        if sql is not None:
+            body = sql.strip()
+            ORACLE_SQL[f.__name__] = lattice.SQL + (body if body.startswith(",") else "\n" + body)
+        return f
+
+    return add
+
+
+from . import graph_queries, relational_queries, text_queries  # noqa: E402, F401

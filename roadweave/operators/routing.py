@@ -153,3 +153,63 @@ def detours(links: DataFrame, arcs: DataFrame, profile: str = "car", metric: str
         F.when(F.col("length") > 0, F.round(F.col("alternative") / F.col("length"), 3)).alias("ratio"),
         "status",
     )
+
+
+def tree_costs(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """``sources(source)`` -> (source, node, cost) of every node each source reaches: one search
+    serves all targets of a source, and sources are what is distributed."""
+    spark = sources.sparkSession
+    arrays = collect_graph(edges.withColumn("_g", F.lit(0).cast("long")), "_g")
+    shared, key = spark.sparkContext.broadcast(arrays), id(arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _GRAPHS:
+            _GRAPHS.clear()
+            _GRAPHS[key] = Graph.of(*shared.value)
+        graph = _GRAPHS[key]
+        names = list(graph.nodes)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                if s not in graph.nodes:
+                    continue
+                best = {graph.nodes[s]: 0}
+                heap = [(0, graph.nodes[s])]
+                while heap:
+                    d, n = heapq.heappop(heap)
+                    if d > best[n]:
+                        continue
+                    for m, c, _ in graph.out[n]:
+                        if d + c < best.get(m, d + c + 1):
+                            best[m] = d + c
+                            heapq.heappush(heap, (d + c, m))
+                rows = [[s] * len(best), [names[n] for n in best], list(best.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["source", "node", "cost"])
+
+    return sources.select(F.col("source").cast("long")).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "source long, node long, cost long")
+
+
+def movements(links: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Through movements of each closure group: pairs of an entry node and an exit node of its
+    boundary, with the cost through the intact network, the cost with the group closed, and whether
+    the closure interrupts the pair. Equal costs are kept and flagged, as another way is as good."""
+    g = F.col("closure_group_id")
+    edges = scan_edges(arcs).join(arcs.select(F.col("arc_id").alias("id"), "closure_group_id"), "id")
+    # groups by number, so that what is broadcast is narrow
+    numbers = links.select(g).distinct().withColumn("group", F.xxhash64(g))
+    edges = edges.join(numbers, "closure_group_id").select("source", "target", "cost", "group", "closure_group_id")
+    inside = links.select(g, F.explode(F.array("source", "target")).alias("node")).distinct()
+    outer = edges.select(F.col("closure_group_id").alias("own"), "source", "target")
+    entries = inside.join(outer.select("own", F.col("target").alias("node")), "node").where(g != F.col("own")).select(g, F.col("node").alias("entry")).distinct()
+    exits = inside.join(outer.select("own", F.col("source").alias("node")), "node").where(g != F.col("own")).select(g, F.col("node").alias("exit")).distinct()
+    pairs = entries.join(exits, "closure_group_id").where("entry <> exit").join(numbers, "closure_group_id")
+    ask = pairs.select("closure_group_id", F.col("entry").alias("source"), F.col("exit").alias("target"), F.explode(F.array(F.lit(None).cast("long"), F.col("group"))).alias("banned"))
+    got = route_costs(ask, edges, "group")
+    closed = F.col("banned").isNotNull()
+    by = got.groupBy("closure_group_id", F.col("source").alias("entry"), F.col("target").alias("exit")).agg(F.max(F.when(~closed, F.col("cost"))).alias("intact"), F.max(F.when(closed, F.col("cost"))).alias("replacement"))
+    kind = (
+        F.when(F.col("intact").isNull(), "NOT_CONNECTED")
+        .when(F.col("replacement").isNull(), "DISCONNECTED")
+        .when(F.col("replacement") == F.col("intact"), "CLOSURE_NOT_NECESSARY")
+        .otherwise("REPLACED")
+    )
+    return by.select("closure_group_id", "entry", "exit", "intact", "replacement", (F.col("replacement") - F.col("intact")).alias("penalty"), kind.alias("outcome"))

@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import graph_queries, relational_queries, text_queries  # noqa: E402, F401
+from . import geometry_queries, graph_queries, relational_queries, text_queries  # noqa: E402, F401

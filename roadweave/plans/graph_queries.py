@@ -182,3 +182,75 @@ def c_resolve(net: Network) -> DataFrame:
     by = net.links.groupBy("closure_group_id").agg(F.count("*").alias("links"), F.sum("length_mm").alias("length_mm"), F.array_sort(F.collect_list("link_id")).alias("ids"))
     text = F.concat_ws("|", F.col("closure_group_id"), F.array_join(F.col("ids").cast("array<string>"), "|"))
     return by.select("closure_group_id", "links", "length_mm", F.substring(F.sha2(text, 256), 1, 24).alias("fingerprint"))
+
+
+_DEPOTS = """, depots AS (SELECT n AS source FROM (SELECT n, count(*) FILTER (inn) * count(*) FILTER (NOT inn) AS m FROM (SELECT target AS n, true AS inn FROM arcs UNION ALL SELECT source, false FROM arcs) GROUP BY n) ORDER BY m DESC, n LIMIT 5)"""
+
+
+def depots(net: Network) -> DataFrame:
+    ends = net.arcs.select(F.explode(F.array(F.struct(F.col("target").alias("n"), F.lit(1).alias("i")), F.struct(F.col("source").alias("n"), F.lit(0).alias("i")))).alias("e"))
+    by = ends.groupBy(F.col("e.n").alias("source")).agg((F.sum("e.i") * F.sum(1 - F.col("e.i"))).alias("m"))
+    return by.orderBy(F.desc("m"), "source").limit(5).select("source")
+
+
+@query(_DEPOTS + """, d(source, node, cost) USING KEY (source, node) AS (
+  SELECT source, source, CAST(0 AS BIGINT) FROM depots
+  UNION
+  SELECT n.source, n.node, n.cost FROM (SELECT d.source, a.target AS node, min(d.cost + a.cost_mm) AS cost FROM d JOIN arcs a ON a.source = d.node WHERE a.mode_car GROUP BY d.source, a.target) n
+  LEFT JOIN recurring.d r ON r.source = n.source AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost
+) SELECT source, node, cost FROM d""")
+def sp_many_costs(net: Network) -> DataFrame:
+    """Costs from the five busiest nodes to all they reach."""
+    return R.tree_costs(depots(net), R.scan_edges(net.arcs))
+
+
+@query(_DEPOTS + _TRANSITIONS + """, first_ AS (SELECT min(arc_id) AS arc, cost_mm AS c FROM arcs JOIN depots USING (source) WHERE mode_car GROUP BY source, cost_mm QUALIFY row_number() OVER (PARTITION BY source ORDER BY min(arc_id)) = 1),
+d(source, node, cost) USING KEY (source, node) AS (
+  SELECT arc, arc, CAST(0 AS BIGINT) FROM first_
+  UNION
+  SELECT n.source, n.node, n.cost FROM (SELECT d.source, t.to_arc AS node, min(d.cost + a.cost_mm) AS cost FROM d JOIN tr t ON t.from_arc = d.node JOIN arcs a ON a.arc_id = t.to_arc JOIN arcs f ON f.arc_id = t.from_arc WHERE a.mode_car AND f.mode_car GROUP BY d.source, t.to_arc) n
+  LEFT JOIN recurring.d r ON r.source = n.source AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost
+) SELECT d.source AS first_arc, d.node AS last_arc, d.cost + first_.c AS cost FROM d JOIN first_ ON first_.arc = d.source""")
+def sp_expanded(net: Network) -> DataFrame:
+    """Costs over the graph whose nodes are arcs, where banned turns have no edge, from the first
+    arc out of each of the five busiest nodes; the first arc's own cost counts."""
+    car = net.arcs.where("mode_car")
+    t = transitions(net).join(car.select(F.col("arc_id").alias("to_arc"), F.col("cost_mm").alias("cost")), "to_arc").join(car.select(F.col("arc_id").alias("from_arc")), "from_arc", "left_semi")
+    first = car.join(depots(net), "source").groupBy("source").agg(F.min(F.struct("arc_id", "cost_mm")).alias("m")).select(F.col("m.arc_id").alias("arc"), F.col("m.cost_mm").alias("c"))
+    tree = R.tree_costs(first.select(F.col("arc").alias("source")), t.select(F.col("from_arc").alias("source"), F.col("to_arc").alias("target"), "cost"))
+    return tree.join(first, F.col("source") == F.col("arc")).select(F.col("source").alias("first_arc"), F.col("node").alias("last_arc"), (F.col("cost") + F.col("c")).alias("cost"))
+
+
+_MOVES = """, e AS (SELECT arc_id, source, target, cost_mm AS cost, closure_group_id AS g FROM arcs WHERE mode_car),
+inside AS (SELECT closure_group_id AS g, source AS node FROM links UNION SELECT closure_group_id, target FROM links),
+entries AS (SELECT DISTINCT i.g, i.node FROM inside i JOIN e ON e.target = i.node AND e.g <> i.g),
+exits AS (SELECT DISTINCT i.g, i.node FROM inside i JOIN e ON e.source = i.node AND e.g <> i.g),
+d(g, entry, closed, node, cost) USING KEY (g, entry, closed, node) AS (
+  SELECT g, node, closed, node, CAST(0 AS BIGINT) FROM entries, (VALUES (true), (false)) AS v(closed)
+  UNION
+  SELECT n.g, n.entry, n.closed, n.node, n.cost FROM (
+    SELECT d.g, d.entry, d.closed, e.target AS node, min(d.cost + e.cost) AS cost FROM d JOIN e ON e.source = d.node AND (NOT d.closed OR e.g <> d.g) GROUP BY d.g, d.entry, d.closed, e.target
+  ) n LEFT JOIN recurring.d r ON r.g = n.g AND r.entry = n.entry AND r.closed = n.closed AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost
+)
+SELECT en.g AS closure_group_id, en.node AS entry, ex.node AS exit, i.cost AS intact, c.cost AS replacement, c.cost - i.cost AS penalty,
+       CASE WHEN i.cost IS NULL THEN 'NOT_CONNECTED' WHEN c.cost IS NULL THEN 'DISCONNECTED' WHEN c.cost = i.cost THEN 'CLOSURE_NOT_NECESSARY' ELSE 'REPLACED' END AS outcome
+FROM entries en JOIN exits ex ON ex.g = en.g AND ex.node <> en.node
+LEFT JOIN d i ON i.g = en.g AND i.entry = en.node AND NOT i.closed AND i.node = ex.node
+LEFT JOIN d c ON c.g = en.g AND c.entry = en.node AND c.closed AND c.node = ex.node"""
+
+
+@query(_MOVES)
+def m_movements(net: Network) -> DataFrame:
+    """Through movements of every closure group with their replacement paths."""
+    return R.movements(net.links, net.arcs)
+
+
+@query(_MOVES.replace("SELECT en.g AS closure_group_id, en.node AS entry", ", m AS (SELECT en.g AS closure_group_id, en.node AS entry", 1) + """)
+SELECT closure_group_id, count(*) AS pairs, count(*) FILTER (outcome = 'DISCONNECTED') AS cut_off, CAST(max(penalty) AS BIGINT) AS worst_penalty,
+       CASE WHEN bool_or(outcome = 'DISCONNECTED') THEN 'SOME_MOVEMENTS_CUT' WHEN bool_or(outcome = 'REPLACED') THEN 'ALL_MOVEMENTS_REPLACED' ELSE 'NO_MOVEMENT_AFFECTED' END AS headline FROM m GROUP BY closure_group_id""")
+def i_impact(net: Network) -> DataFrame:
+    """One headline for each closure: what it does to the movements through it."""
+    m = R.movements(net.links, net.arcs)
+    cut, replaced = F.col("outcome") == "DISCONNECTED", F.col("outcome") == "REPLACED"
+    headline = F.when(F.bool_or(cut), "SOME_MOVEMENTS_CUT").when(F.bool_or(replaced), "ALL_MOVEMENTS_REPLACED").otherwise("NO_MOVEMENT_AFFECTED")
+    return m.groupBy("closure_group_id").agg(F.count("*").alias("pairs"), F.count_if(cut).alias("cut_off"), F.max("penalty").alias("worst_penalty"), headline.alias("headline"))

@@ -10,9 +10,11 @@ from ..sources import lattice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: SQL that takes minutes on more than the smallest tables; the tests use it there.
+SLOW_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, slow: bool = False) -> Callable:
     """Registers a function of a Network under its name; its SQL continues the network's recipe
     (from a comma, further tables; or else from the final SELECT)."""
 
@@ -20,7 +22,7 @@ def query(sql: str | None = None) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lattice.Network(spark, sf_dir))
         if sql is not None:
             body = sql.strip()
-            ORACLE_SQL[f.__name__] = lattice.SQL + (body if body.startswith(",") else "\n" + body)
+            (SLOW_SQL if slow else ORACLE_SQL)[f.__name__] = lattice.SQL + (body if body.startswith(",") else "\n" + body)
         return f
 
     return add

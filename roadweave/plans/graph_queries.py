@@ -239,7 +239,7 @@ LEFT JOIN d i ON i.g = en.g AND i.entry = en.node AND NOT i.closed AND i.node =
 LEFT JOIN d c ON c.g = en.g AND c.entry = en.node AND c.closed AND c.node = ex.node"""
 
 
-@query(_MOVES)
+@query(_MOVES, slow=True)
 def m_movements(net: Network) -> DataFrame:
     """Through movements of every closure group with their replacement paths."""
     return R.movements(net.links, net.arcs)
@@ -247,7 +247,7 @@ def m_movements(net: Network) -> DataFrame:
 
 @query(_MOVES.replace("SELECT en.g AS closure_group_id, en.node AS entry", ", m AS (SELECT en.g AS closure_group_id, en.node AS entry", 1) + """)
 SELECT closure_group_id, count(*) AS pairs, count(*) FILTER (outcome = 'DISCONNECTED') AS cut_off, CAST(max(penalty) AS BIGINT) AS worst_penalty,
-       CASE WHEN bool_or(outcome = 'DISCONNECTED') THEN 'SOME_MOVEMENTS_CUT' WHEN bool_or(outcome = 'REPLACED') THEN 'ALL_MOVEMENTS_REPLACED' ELSE 'NO_MOVEMENT_AFFECTED' END AS headline FROM m GROUP BY closure_group_id""")
+       CASE WHEN bool_or(outcome = 'DISCONNECTED') THEN 'SOME_MOVEMENTS_CUT' WHEN bool_or(outcome = 'REPLACED') THEN 'ALL_MOVEMENTS_REPLACED' ELSE 'NO_MOVEMENT_AFFECTED' END AS headline FROM m GROUP BY closure_group_id""", slow=True)
 def i_impact(net: Network) -> DataFrame:
     """One headline for each closure: what it does to the movements through it."""
     m = R.movements(net.links, net.arcs)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, map_arrow
 
-SAMPLE, LANDMARKS, FOLDS = 4000, 96, 5
+SAMPLE, LANDMARKS, FOLDS = 2500, 96, 5
 DECAY, SPAN, POWER = 0.7, 5, 2
 #: Directions kept of the folded machine.
 RANK = 32

@@ -1,7 +1,7 @@
 """The pipeline's stages, one after the other."""
 
 import corpus_pipeline
-from roadweave.llm import decontam, simhash_dedup
+from roadweave.llm import decontam, near_copies
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,9 +21,56 @@ def test_stages(spark):
         assert all(known[r.doc_id] == tuple(r) for r in rows)
         docs, before = spark.createDataFrame(rows, docs.schema), len(rows)
         if name == "simhash_dedup":
-            left = simhash_dedup.near_duplicates(docs, shingle=5).collect()
-            assert all(r.doc_id == r.component_id for r in left)
+            assert near_copies.copy_groups(docs).count() == 0
         if name == "decontamination":
             assert decontam.find_leaks(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect())
+
+
+def plain_groups(rows):
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.similarity(rows[i].text, rows[j].text) >= 0.8 - 1e-12:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    return sorted(least.values())
+
+
+def test_near_copies_match_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    base = [" ".join(f"w{r.randrange(5000)}" for _ in range(r.choice((6, 40, 200)))) for _ in range(25)]
+    texts = []
+    for k, t in enumerate(base):
+        for _ in range(r.choice((1, 1, 3, 30 if k == 0 else 5))):
+            w = t.split()
+            for _ in range(r.choice((0, 0, 1, 2, 4))):
+                w[r.randrange(len(w))] = f"x{r.randrange(100)}"
+            texts.append(" ".join(w))
+    texts += ["", " ", "", "one two", "one two"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node int")
+    want = plain_groups(docs.collect())
+    for block in (512, 8):
+        groups = near_copies.copy_groups(docs, block=block)
+        assert groups.columns == ["node", "component"]
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == want
+
+
+def test_near_copies_cases(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, "g h"), (7, None), (6, ""), (5, "a b c d e f")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in near_copies.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(5, "a b c d e f"), (6, ""), (None, "g h")], key=str)
+    assert near_copies.keep_first(docs.where("false")).count() == 0

@@ -28,4 +28,4 @@ def query(sql: str | None = None, slow: bool = False) -> Callable:
     return add
 
 
-from . import geometry_queries, graph_queries, relational_queries, text_queries  # noqa: E402, F401
+from . import domain_queries, geometry_queries, graph_queries, relational_queries, text_queries  # noqa: E402, F401

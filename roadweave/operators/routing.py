@@ -129,13 +129,16 @@ def route_costs(requests: DataFrame, edges: DataFrame, group: str, budget: int =
     return requests.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, schema)
 
 
-def detours(links: DataFrame, arcs: DataFrame, profile: str = "car", metric: str = "distance") -> DataFrame:
+def detours(links: DataFrame, arcs: DataFrame, profile: str = "car", metric: str = "distance", only: DataFrame | None = None) -> DataFrame:
     """For each permitted direction of each link: the intact cost, the cost with the link closed,
     what is added, the penalty, the ratio to the link, and the status. ``added`` may be negative
-    (another way was shorter anyway); the penalty is against the cheapest intact way."""
+    (another way was shorter anyway); the penalty is against the cheapest intact way. ``only`` has
+    the link_ids to close; by default every link is closed in turn."""
     edges = scan_edges(arcs, profile, metric).join(arcs.select(F.col("arc_id").alias("id"), "link_id"), "id")
     own = arcs.join(edges.select(F.col("id").alias("arc_id"), F.col("cost").alias("length")), "arc_id")
     own = own.select("arc_id", "link_id", "source", "target", "length")
+    if only is not None:
+        own = own.join(only.select("link_id"), "link_id", "left_semi")
     ask = own.select("arc_id", "link_id", "length", "source", "target", F.explode(F.array(F.lit(None).cast("long"), F.col("link_id"))).alias("banned"))
     got = route_costs(ask, edges, "link_id")
     closed = F.col("banned").isNotNull()

@@ -121,3 +121,15 @@ def test_reach_stops_at_its_limit(spark):
     rows = connectivity.reach(arcs_of(links), starts, limit=3).collect()
     assert sorted(r.node for r in rows if r.start == 6) == [6, 7, 8]
     assert sorted(r.node for r in rows if r.start == 0) == [0, 1, 2, 3]
+
+
+def test_closure_events(spark, tmp_path):
+    from roadweave.streaming.closure_events import analyse_events
+
+    links = links_of(spark, SQUARE)
+    spark.createDataFrame([(1,), (3,), (1,)], "link_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("link_id long").parquet(str(tmp_path / "in"))
+    q = analyse_events(events, links, arcs_of(links), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert q.awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.link_id, r.direction, r.alternative) for r in rows) == [(1, 0, 300), (1, 1, 300), (3, 0, 300), (3, 1, 300)]

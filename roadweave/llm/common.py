@@ -46,12 +46,31 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows handed to Python at a time, so that few texts are held as Python strings.
+ROWS = 1024
+_OWNER: list = [None, None]
+
+
+def own_cache(name: str, clear: Callable[[], None]) -> None:
+    """Python workers outlive stages: the operator that begins in one drops the last one's caches."""
+    if _OWNER[0] != name:
+        if _OWNER[1]:
+            _OWNER[1]()
+        _OWNER[:] = [name, clear]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: str, rows: Callable[[dict], dict], names: list[str]) -> DataFrame:
     """Runs ``rows`` over Arrow batches of the named columns only. ``rows`` takes a dict of Python
     lists and returns a dict of lists (or Arrow arrays) for ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = rows({c: batch.column(i) for i, c in enumerate(columns)})
             yield pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in (got[n] for n in names)], names=names)
 

@@ -11,9 +11,11 @@ import re
 
 import numpy as np
 
+from .common import own_cache
+
 #: Printable ASCII, tab and line ends, Latin-1 letters.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_CACHE_WORDS, _LONGEST = 400_000, 64
+_CACHE_WORDS, _LONGEST = 200_000, 64
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -53,6 +55,7 @@ class Encoder:
 
 def encoder(path: str, width: int = 4, special_as_text: bool = False) -> Encoder:
     """One encoder, and so one cache, for each process."""
+    own_cache("encoding", _ENCODERS.clear)
     key = (path, width, special_as_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, width, special_as_text)

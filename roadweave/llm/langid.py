@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow
+from .common import fold, map_arrow, own_cache
 
 DOCS_PER_LANG, ROUNDS, HELD_OUT_FOLD, FOLDS = 300, 3, 1, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,9 +37,9 @@ _START = "▁"
 _UNKNOWN = 1e-9
 #: Runs of letters this long are scored in logarithms, as products of so many factors vanish.
 _LONGEST = 32
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _TRIES: dict[str, Trie] = {}
-_SCORERS: dict[str, object] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 class Trie:
@@ -259,16 +259,22 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG,
     return [g[0] for g in got], np.array([g[1] for g in got])
 
 
+def _scorer(key: str, model: tuple, model_file: str) -> Scorer:
+    """One scorer for each process; found through the module, as a task's own globals are its own."""
+    own_cache("langid", _SCORERS.clear)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(*model, model_file)
+    return _SCORERS[key]
+
+
 def identify(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score (probability of the language, all equally likely before)."""
     model = train(docs, model_file, docs_per_lang, rounds)
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def rows(b: dict) -> dict:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value, model_file)
-        got = _SCORERS[key].texts(b["text"].to_pylist())
+        got = _scorer(key, shared.value, model_file).texts(b["text"].to_pylist())
         return {"doc_id": b["doc_id"], "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())}
 
     scored = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, lang_pred string, score double", rows, ["doc_id", "lang_pred", "score"])

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import map_arrow, materialise, own_cache
 
 SAMPLE, BITS, ROUNDS = 4000, 15, 100
 GOOD, BAD, NONE = 1, 0, 2
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _SCORERS: dict[str, Scorer] = {}
 
 _KIND = np.zeros(256, np.int64)  # 0: letters and bytes of other scripts
@@ -183,6 +183,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip((self.weights[f] * x).sum(), -30, 30))))
 
 
+def _scorer(key: str, weights: np.ndarray, bits: int) -> Scorer:
+    """One scorer for each process; found through the module, as a task's own globals are its own."""
+    own_cache("quality", _SCORERS.clear)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(weights, bits)
+    return _SCORERS[key]
+
+
 def classify(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
     """doc_id, weak_label (posterior of the votes), score, kept."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -197,12 +206,10 @@ def classify(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFra
 
     def rows(b: dict) -> dict:
         weights, post = shared.value
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(weights, bits)
+        scorer = _scorer(key, weights, bits)
         texts = b["text"].to_pylist()
         weak = [post.get(votes(t), 0.5) for t in texts]
-        score = [_SCORERS[key](t) if t and not t.isspace() else w for t, w in zip(texts, weak, strict=True)]
+        score = [scorer(t) if t and not t.isspace() else w for t, w in zip(texts, weak, strict=True)]
         kept = [s >= 0.5 and bool(t) and not t.isspace() for s, t in zip(score, texts, strict=True)]
         return {"doc_id": b["doc_id"], "weak_label": pa.array(weak, pa.float64()), "score": pa.array(score, pa.float64()), "kept": pa.array(kept, pa.bool_())}
 

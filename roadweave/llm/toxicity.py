@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow
+from .common import fold, map_arrow, own_cache
 
 SAMPLE, LANDMARKS, FOLDS = 2500, 96, 5
 DECAY, SPAN, POWER = 0.7, 5, 2
@@ -42,7 +42,7 @@ DECAY, SPAN, POWER = 0.7, 5, 2
 RANK = 32
 #: Words seen in one clean document only that training looks at; the rest are weighed through these.
 RARE_WORDS = 20_000
-_CACHE_WORDS, _LONGEST = 400_000, 40
+_CACHE_WORDS, _LONGEST = 200_000, 40
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _EDGES = ".,;:!?\"'()[]{}|#*$%&<>-_=+/\\`~"
 #: Characters by code: letters keep their own, everything else shares a few.
@@ -113,7 +113,7 @@ class Landmarks:
         used, place = np.unique(f, return_inverse=True)
         self.row = np.zeros(FEATURES, np.int32)
         self.row[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(words)))
+        self.table = np.zeros((len(used) + 1, len(words)), np.float32)
         self.table[place + 1, w] = x
 
     def shared(self, words: list[str], table: np.ndarray) -> np.ndarray:
@@ -137,13 +137,14 @@ class Landmarks:
     def folded(self, alpha: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
         """The weighted sum of squared kernel values is a quadratic form in a word's triples, whose
         strongest directions and their weights these are."""
-        value, vector = np.linalg.eigh(self.table[1:].T @ self.table[1:])
+        table = self.table.astype(float)
+        value, vector = np.linalg.eigh(table.T @ table)
         ok = value > 1e-9
         half = (vector[:, ok] * np.sqrt(value[ok])) @ vector[:, ok].T
         back = (vector[:, ok] / np.sqrt(value[ok])) @ vector[:, ok].T
         weight, direction = np.linalg.eigh(half @ (alpha[:, None] * half))
         strong = np.argsort(-np.abs(weight), kind="stable")[:rank]
-        return (self.table @ back @ direction[:, strong]).astype(np.float32), weight[strong].astype(np.float32)
+        return (table @ back @ direction[:, strong]).astype(np.float32), weight[strong].astype(np.float32)
 
 
 @dataclass
@@ -160,12 +161,11 @@ class Model:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient steps; deterministic."""
     weight = weight / weight.sum()
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (reg + 2 * (weight[:, None] * x1 * x1).sum())
-    w = z = np.zeros(x1.shape[1])
+    step = 1 / (reg + 2 * (1 + float(weight @ np.einsum("ij,ij->i", x, x))))
+    w = z = np.zeros(x.shape[1] + 1)
     for t in range(rounds):
-        gap = np.maximum(0, 1 - y * (x1 @ z))
-        grad = reg * np.append(z[:-1], 0) - 2 * x1.T @ (weight * y * gap)
+        gap = weight * y * np.maximum(0, 1 - y * (x @ z[:-1].astype(x.dtype) + z[-1]))
+        grad = reg * np.append(z[:-1], 0) - 2 * np.append(gap.astype(x.dtype) @ x, gap.sum())
         new = z - step * grad
         z, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
@@ -227,8 +227,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     common = np.argsort(-np.where(lift > 0, 0, neg), kind="stable")[: landmarks // 4]
     most = _spread([vocab[i] for i in np.argsort(-lift, kind="stable")[: 8 * landmarks] if lift[i] > 1], landmarks - len(common))
     marks = Landmarks(sorted({*most, *(vocab[i] for i in common)}))
-    value, vector = np.linalg.eigh(marks.kernel(marks.words))
-    root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
+    value, vector = np.linalg.eigh(marks.kernel(marks.words).astype(float))
+    root = (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])).astype(np.float32)
     # of the many words of one clean document only a few are looked at, and weighed for all
     rare = np.flatnonzero((pos == 0) & (neg == 1))
     step = max(1, -(-len(rare) // RARE_WORDS))
@@ -319,6 +319,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
 
+def _scorer(key: str, model: Model) -> WordScorer:
+    """One scorer for each process; found through the module, as a task's own globals are its own."""
+    own_cache("toxicity", _MODELS.clear)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = WordScorer(model)
+    return _MODELS[key]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; rows keep no other column."""
     return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample).select(
@@ -335,10 +344,7 @@ def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     def rows(b: dict) -> dict:
         if shared.value is None:
             return b | {"toxic_score": pa.array([0.0] * len(b["text"]), pa.float64())}
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = WordScorer(shared.value)
-        return b | {"toxic_score": pa.array(_MODELS[key].scores(b["text"].to_pylist()), pa.float64())}
+        return b | {"toxic_score": pa.array(_scorer(key, shared.value).scores(b["text"].to_pylist()), pa.float64())}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double"
     return map_arrow(docs, columns, schema, rows, [*columns, "toxic_score"])

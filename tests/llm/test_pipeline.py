@@ -74,3 +74,35 @@ def test_near_copies_cases(spark):
     kept = sorted(((r.doc_id, r.text) for r in near_copies.keep_first(docs).collect()), key=str)
     assert kept == sorted([(5, "a b c d e f"), (6, ""), (None, "g h")], key=str)
     assert near_copies.keep_first(docs.where("false")).count() == 0
+
+
+def test_near_copies_inside_a_template_family(spark):
+    """Members just under 0.8 alike, among them pairs above: failed edges must not hide those."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(1000)]
+
+    def change(words, k):
+        words = list(words)
+        for i in r.sample(range(len(words)), k):
+            words[i] = f"x{r.randrange(10**9)}"
+        return words
+
+    # k changed words replace about 5 k of 996 shingles
+    texts = []
+    for k in range(240):
+        texts.append(change(base, 12))
+        if k < 50:
+            texts.append(change(texts[-1], 18))
+    texts = [" ".join(t) for t in texts]
+    held = [set(near_copies.shingle_hashes(t).tolist()) for t in texts]
+    alike = {(i, j): len(held[i] & held[j]) / len(held[i] | held[j]) for i in range(len(texts)) for j in range(i)}
+    want = {frozenset((i, j)) for (i, j), s in alike.items() if s >= 0.8}
+    assert 0.75 < sorted(alike.values())[len(alike) // 2] < 0.8 and len(want) >= 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {x.node: x.doc_id for x in docs.selectExpr("xxhash64(text) as node", "doc_id").collect()}
+    for block in (512, 64):
+        of = {node[x.node]: x.component for x in near_copies.copy_groups(docs, block=block).collect()}
+        lost = [p for p in want if len({of.get(i, -i - 1) for i in p}) > 1]
+        assert not lost, f"{len(lost)} of {len(want)} pairs lost"

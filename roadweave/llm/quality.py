@@ -75,9 +75,11 @@ HEURISTICS: tuple[tuple[str, float, float, float, float], ...] = (
     ("stops", 0.001, 0.02, 0.5, 0.9),
 )
 #: What heuristics are expected to do before any count is seen, (bad, good, nothing) on bad and on
-#: good documents; how often those for one defect call bad and good documents bad; and how much
-#: that weighs beside the counts.
-EXPECTED, DEFECT, STRENGTH = ((0.25, 0.6, 0.15), (0.02, 0.75, 0.23)), (0.25, 0.0005), 3.0
+#: good documents; how often those for one defect call bad and good documents bad; and how many
+#: documents of each class that weighs as much as, whatever the corpus: the counts decide. Only the
+#: false alarms of those for one defect (DEFECT[GOOD]) are set by hand: bad documents fail in one way
+#: each, so no count of votes tells a defect from a habit of good documents.
+EXPECTED, DEFECT, STRENGTH = ((0.25, 0.6, 0.15), (0.02, 0.75, 0.23)), (0.25, 0.0005), 5.0
 
 
 def votes(text: str | None) -> int:
@@ -112,9 +114,11 @@ def fit_labels(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int,
             for h in range(len(HEURISTICS)):
                 seen = [vote in v[:, h] for vote in (BAD, GOOD, NONE)]
                 expected = np.where(seen, EXPECTED[c], 0)
-                if HEURISTICS[h][2] > HEURISTICS[h][4]:  # a defect: what is not bad is nothing
+                defect = HEURISTICS[h][2] > HEURISTICS[h][4]
+                if defect:  # what is not bad is nothing
                     expected = np.where(seen, (DEFECT[c], 0, 1 - DEFECT[c]), 0)
-                table[c, h] = np.bincount(v[:, h], p, minlength=3) + STRENGTH * n.sum() * expected + 1e-6
+                told = 0 if c == GOOD and defect else np.bincount(v[:, h], p, minlength=3)
+                table[c, h] = told + STRENGTH * expected + 1e-6
         table /= table.sum(2, keepdims=True)
         prior = min(max((post * n).sum() / n.sum(), 1e-3), 1 - 1e-3)
         at = np.arange(len(HEURISTICS))

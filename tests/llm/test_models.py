@@ -114,6 +114,31 @@ def test_quality_labels_and_scorer(spark, labels):
     assert sum(bad) / len(bad) < 0.7
 
 
+def test_quality_accuracies_come_from_the_votes():
+    """Votes drawn with known accuracies, far from the expected ones: the fit finds them."""
+    r = np.random.default_rng(5)
+    truth = np.zeros((2, len(quality.HEURISTICS), 3))  # by class: bad, good, nothing
+    for h, (_, _, good_from, _, bad_above) in enumerate(quality.HEURISTICS):
+        truth[:, h] = ((0.7, 0, 0.3), (quality.DEFECT[1], 0, 1 - quality.DEFECT[1])) if good_from > bad_above else ((0.6, 0.1, 0.3), (0.1, 0.45, 0.45))
+    for n in (2000, 20000):
+        counts: Counter = Counter()
+        for good in (r.random(n) < 0.8).astype(int).tolist():
+            code = 0
+            for p in truth[good]:
+                code = code * 3 + int(r.choice(3, p=p))
+            counts[code] += 1
+        _, table = quality.fit_labels(counts)
+        assert np.abs(table - truth).max() < 0.1
+
+
+def test_quality_keeps_few_bad_documents(spark, labels):
+    rows = [r for r in queries.op1_quality_classifier(spark, DATA).collect() if r.doc_id in labels]
+    bad = [r.kept for r in rows if labels[r.doc_id].quality == 0]
+    good = [r.kept for r in rows if labels[r.doc_id].quality == 1]
+    assert sum(good) / len(good) > 0.98
+    assert sum(bad) / len(bad) < 0.1
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "one two three. four", 1), (3, "a " * 40000, 1), (3, "a " * 40000, 1)], "doc_id long, text string, score int")
     rows = quality.classify(docs).collect()

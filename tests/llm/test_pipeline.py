@@ -106,3 +106,11 @@ def test_near_copies_inside_a_template_family(spark):
         of = {node[x.node]: x.component for x in near_copies.copy_groups(docs, block=block).collect()}
         lost = [p for p in want if len({of.get(i, -i - 1) for i in p}) > 1]
         assert not lost, f"{len(lost)} of {len(want)} pairs lost"
+
+
+def test_count_filter_loses_less_than_the_postings():
+    from math import comb
+
+    n, s = near_copies.POSITIONS, near_copies.SIMILARITY
+    lost = sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(near_copies.tally_limit(s)))
+    assert lost < (1 - s**near_copies.GROUP) ** (n // near_copies.GROUP) / 10

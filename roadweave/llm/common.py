@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -46,8 +47,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows handed to Python at a time, so that few texts are held as Python strings.
-ROWS = 1024
+#: Rows handed to Python at a time, so that few texts are held as Python strings, and bytes where
+#: the texts stay in Arrow.
+ROWS, TEXT_BYTES = 1024, 8 << 20
 _OWNER: list = [None, None]
 
 
@@ -59,13 +61,34 @@ def own_cache(name: str, clear: Callable[[], None]) -> None:
         _OWNER[:] = [name, clear]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, and of about ``most`` bytes if told (one long row may be more)."""
     for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
+        n = rows if not most or not batch.num_rows else min(rows, max(1, most * batch.num_rows // max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, n):
+            part = batch.slice(k, n)
+            if most and n > 1 and part.nbytes > 4 * most:  # long rows side by side
+                yield from slices([part], max(1, n // 4), most)
+            else:
+                yield part
 
 
-def map_arrow(df: DataFrame, columns: list[str], schema: str, rows: Callable[[dict], dict], names: list[str]) -> DataFrame:
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those of kinds that cannot be hashed are taken as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(f"`{c}`")) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def text_sample(docs: DataFrame, most: int, most_bytes: int) -> list[str]:
+    """A bounded sample to fit something on: of the ``most`` different rows with the smallest hash of
+    id and text, among those of 1 to ``most_bytes`` bytes. The driver gets hashes, then those texts."""
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "text").where(F.octet_length("text").between(1, most_bytes))
+    # repeated rows have one hash; a task hands over its smallest ones only
+    chosen = keyed.select("h").distinct().orderBy("h").limit(most)
+    taken = keyed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.any_value("text").alias("text"))
+    return [r.text for r in sorted(taken.collect(), key=lambda r: r.h)]
+
+
+def map_arrow(df: DataFrame, columns: list[str], schema: str | StructType, rows: Callable[[dict], dict], names: list[str]) -> DataFrame:
     """Runs ``rows`` over Arrow batches of the named columns only. ``rows`` takes a dict of Python
     lists and returns a dict of lists (or Arrow arrays) for ``names``."""
 

@@ -10,12 +10,16 @@ length and its number of ids, so one short document is read with one seek and on
 Shards leave through Spark's own writer with its commit protocol, so lost executors and repeated
 attempts leave no partial file, on any file system Spark can write.
 
-The dictionary is trained on a bounded sample, ``sample_docs`` documents of the smallest id hash
-among those of at most ``sample_ids`` ids; every document is written whole, whatever its length.
+The dictionary is trained first, on a bounded sample: of the ``sample_docs`` different rows with the
+smallest hash of id and text, those of at most ``sample_bytes`` bytes. Only their hashes and then
+their texts reach the driver, however large the corpus. Then each text is encoded and compressed in
+one pass; what is dealt into shards are the compressed frames. Every document is written whole,
+whatever its length.
 
 Cases: null and empty texts hold the end id alone; null doc_ids come first, then ascending; equal
-doc_ids are ordered by a hash of their ids, repeated rows are all written; an empty table writes a
-dictionary and no document; other columns are ignored."""
+doc_ids are ordered by a hash of their frames and then by where they stood, repeated rows are all
+written and may be parted between shards; an empty table writes a dictionary and no document; other
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -31,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, scratch
+from .common import TEXT_BYTES, materialise, scratch, slices, text_sample
 from .encoding import encoder
 
 MAGIC, TAIL = b"RWTOKEN1", "RWTE"
@@ -39,17 +43,6 @@ _HEAD = struct.Struct("<8s32sI")
 _LEVEL = 3
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4, special_as_text: bool = False, end_inside: bool = True) -> DataFrame:
-    """(doc_id, ids): ids as packed little-endian integers, with the end id unless told otherwise."""
-    end = np.array([end_id], f"<u{width}").tobytes() if end_inside else b""
-
-    def rows(b: dict) -> dict:
-        enc = encoder(tokenizer, width, special_as_text)
-        return {"doc_id": b["doc_id"], "ids": pa.array([enc(t) + end for t in b["text"].to_pylist()], pa.binary())}
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, ids binary", rows, ["doc_id", "ids"])
-
-
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the samples themselves where there are too few to train on."""
     try:
@@ -62,15 +55,16 @@ def _dict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def pack_shard(doc_ids: list[int | None], ids: list[bytes], raw: bytes, width: int) -> bytes:
-    d = _dict(raw)
-    comp = zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=True)
-    frames = [comp.compress(x) for x in ids]
+def compressor(raw: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=_LEVEL, dict_data=_dict(raw), write_content_size=True)
+
+
+def pack_shard(doc_ids: list[int | None], frames: list[bytes], n_tokens: list[int], raw: bytes, width: int) -> bytes:
     length = np.array([len(f) for f in frames], "<u8")
     head = _HEAD.pack(MAGIC, hashlib.sha256(raw).digest(), width)
     offset = np.cumsum(length, dtype="<u8") - length + len(head)
     known = np.array([x is not None for x in doc_ids], "u1")
-    index = struct.pack("<Q", len(frames)) + known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + offset.astype("<u8").tobytes() + length.tobytes() + np.array([len(x) // width for x in ids], "<u8").tobytes()
+    index = struct.pack("<Q", len(frames)) + known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + offset.astype("<u8").tobytes() + length.tobytes() + np.array(n_tokens, "<u8").tobytes()
     index = zstandard.compress(index)
     return b"".join([head, *frames, index, struct.pack("<Q", len(index))])
 
@@ -99,24 +93,41 @@ def read_document(shard: bytes, at: int, raw: bytes, index: dict | None = None,
     return np.frombuffer(reader.decompress(frame), f"<u{index['width']}")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: int = 2, dict_bytes: int = 65536, sample_docs: int = 1000, sample_ids: int = 16384, shard_bytes: int = 16 << 20) -> None:
+def frames(docs: DataFrame, tokenizer: str, end_id: int, width: int, raw: bytes) -> DataFrame:
+    """(doc_id, n_tokens, frame): each text's ids with the end id, compressed."""
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = compressor(shared.value).compress
+        for b in slices(batches, 4096, TEXT_BYTES):
+            flat, ends = encoder(tokenizer, width).closed(b.column(1), end_id)
+            view, at = memoryview(flat).cast("B"), (ends * width).tolist()
+            packed = [press(view[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, frame binary")
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: int = 2, dict_bytes: int = 65536, sample_docs: int = 1000, sample_bytes: int = 65536, shard_bytes: int = 8 << 20) -> None:
     spark = docs.sparkSession
-    tokens = materialise(encoded(docs, tokenizer, end_id, width).withColumn("tie", F.xxhash64("ids")), "token-ids")
-    taken = tokens.where(F.octet_length("ids") <= sample_ids * width).orderBy(F.xxhash64("doc_id"), "tie").limit(sample_docs).select("ids")
-    raw = train_dictionary([bytes(r.ids) for r in taken.collect()], dict_bytes)
+    some = text_sample(docs, sample_docs, sample_bytes)
+    flat, ends = encoder(tokenizer, width).closed(pa.array(some, pa.string()), end_id)
+    raw = train_dictionary([x.tobytes() for x in np.split(flat, ends)[:-1]], dict_bytes)
     spark.createDataFrame([(hashlib.sha256(raw).hexdigest(), bytearray(raw))], "sha256 string, bytes binary").write.parquet(f"{path}/dictionary")
-    total = tokens.agg(F.sum(F.octet_length("ids").cast("long"))).first()[0] or 0
+    packed = materialise(frames(docs, tokenizer, end_id, width, raw), "token-frames")
+    total = packed.agg(F.sum(F.octet_length("frame").cast("long"))).first()[0] or 0
     shared = spark.sparkContext.broadcast(raw)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, ids = [], []
-        for b in batches:
-            doc_ids += b.column(0).to_pylist()
-            ids += b.column(1).to_pylist()
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([pack_shard(doc_ids, ids, shared.value, width)], pa.binary())], names=["shard"])
-
-    dealt = tokens.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+        kept = [b for b in batches if b.num_rows]
+        if kept:
+            ids, n, got = (pa.Table.from_batches(kept).column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array([pack_shard(ids, got, n, shared.value, width)], pa.binary())], names=["shard"])
+
+    # where a row stands in the written frames sets even equal rows apart
+    keys = ["doc_id", "tie", "place"]
+    placed = packed.select("doc_id", F.xxhash64("frame").alias("tie"), F.concat_ws("/", "_metadata.file_name", "_metadata.row_index").alias("place"), "n_tokens", "frame")
+    dealt = placed.repartitionByRange(max(1, -(-total // shard_bytes)), *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "frame")
     dealt.mapInArrow(pack, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", TAIL).text(f"{path}/shards")
 
 

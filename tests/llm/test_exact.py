@@ -154,23 +154,52 @@ def test_token_output_cases(spark, tokenizer):
     assert token_store.token_table(odd(spark).where("false"), queries.tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library(special_as_text):
+    """Odd and plain texts in any mixture, through caches that keep turning over."""
+    import pyarrow as pa
+    from roadweave.llm import encoding
+
+    r = random.Random(1)
+    odd_parts = ["a", "B", "É", "ß", "1", "_", "-", "'", "'s", " ", "\n", "\t", "\u00a0", "\x1c", "\u3000", "日本", "e\u0301", "İ", "Σ", "😀", "<|endoftext|>", "٣", "\u200b", "\u2028", "ǅ", "\u0085", "가"]
+    plain_parts = ["a", "B", "É", "ß", "1", "2", "_", "-", "'", "'s", "'ll", " ", "  ", "\n", "\r", "\t", "xyz", "''", "<", ">", "|", "÷"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for parts in (odd_parts, plain_parts, plain_parts) for _ in range(4000)] + [None, "", "x" * 5000]
+    r.shuffle(texts)
+    enc = encoding.Encoder(queries.tokenizer_path("word_bpe_49k.json"), 2, special_as_text)
+    assert enc.joins
+    before, encoding._CACHE_PIECES = encoding._CACHE_PIECES, 1500
+    try:
+        for k in range(0, len(texts), 997):
+            part = texts[k : k + 997]
+            flat, ends = enc.closed(pa.array(part, pa.string()), 9)
+            for t, ids in zip(part, np.split(flat, ends[:-1]), strict=True):
+                assert ids.tolist() == [*enc._ids(t or ""), 9], t
+    finally:
+        encoding._CACHE_PIECES = before
+    assert [len(x) for x in enc.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_counts(spark, tokenizer):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
     want = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in docs]
     path = scratch(spark, "flat")
-    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
-    token_count.write_flat(frame, path, queries.tokenizer_path("word_bpe_49k.json"), 49407, file_bytes=60_000)
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5)
+    token_count.write_flat(frame, path, queries.tokenizer_path("word_bpe_49k.json"), 49407)
+    names = {(r.file, r.doc_no): r.doc_id for r in token_count.read_names(spark, f"{path}/kind=docs").collect()}
     for block in (64, 4096, 4 << 20):
-        rows = sorted(token_count.count_tokens(spark, path, 49407, block_bytes=block).collect(), key=lambda r: r.doc_seq)
+        rows = sorted(token_count.count_tokens(spark, f"{path}/kind=ids", 49407, block_bytes=block).collect(), key=lambda r: r.doc_seq)
         assert [r.doc_seq for r in rows] == list(range(len(want)))
-        assert [r.n_tokens for r in rows] == want
+        assert [n for _, n in sorted((names[r.file, r.doc_no], r.n_tokens) for r in rows)] == want
+        assert len({r.file for r in rows}) == 5
         assert all(r.closed for r in rows)
+    got = queries.op6_token_counts(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == list(zip((i for i, _ in docs), want, strict=True))
 
 
 def test_token_counts_without_a_last_separator(spark, tmp_path):
     np.array([5, 6, 9, 7, 9, 9, 1, 2, 3, 4], "<u4").tofile(tmp_path / "part-0")
     for block in (4, 8, 400):
-        rows = sorted(token_count.count_tokens(spark, f"file://{tmp_path}", 9, block_bytes=block).collect(), key=lambda r: r.doc_seq)
+        rows = sorted(token_count.count_tokens(spark, f"file://{tmp_path}", 9, block_bytes=block, id_bytes=4).collect(), key=lambda r: r.doc_seq)
         assert [(r.n_tokens, r.closed) for r in rows] == [(2, True), (1, True), (0, True), (4, False)]
 
 
@@ -178,6 +207,7 @@ def test_token_counts_cases(spark):
     rows = token_count.flat_token_counts(odd(spark), queries.tokenizer_path("word_bpe_49k.json"), 49407).collect()
     assert len(rows) == len(ODD)
     assert sum(r.n_tokens == 0 for r in rows) == 3
+    assert sorted((r.doc_id or 0) for r in rows) == sorted(i or 0 for i, _ in ODD)
     assert token_count.flat_token_counts(odd(spark).where("false"), queries.tokenizer_path("word_bpe_49k.json"), 49407).count() == 0
 
 

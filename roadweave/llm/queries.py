@@ -29,7 +29,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    got = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
     return got.select("doc_id", "source", "lang", F.col("_rw_topic").alias("topic"), F.col("_rw_tokens").alias("n_tokens"), F.col("_rw_weight").alias("cell_weight"), F.col("_rw_probability").alias("probability"), F.col("_rw_sampled").alias("sampled"))
 
 

@@ -7,8 +7,9 @@ text's log-likelihood is the sum over its words, which are scored once for each
 Probabilities are fitted by expectation-maximisation: the forward-backward counts of pieces over the
 training words of a language become its next probabilities.
 
-Training takes a bounded sample, the ``docs_per_lang`` documents of each language with the smallest
-id hashes; languages train side by side, one task each. Everything in a text is scored.
+Training takes a bounded sample: of the ``langs`` values of lang that most documents outside the
+held-out fold have (ties by name), the ``docs_per_lang`` documents with the smallest id hashes, whole.
+Languages train side by side, one task each. Everything in a text is scored.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; letters outside the vocabulary
 cost a fixed small probability in every language; ties go to the first language in order of name;
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, map_arrow, own_cache
 
-DOCS_PER_LANG, ROUNDS, HELD_OUT_FOLD, FOLDS = 300, 3, 1, 3
+DOCS_PER_LANG, LANGS, ROUNDS, HELD_OUT_FOLD, FOLDS = 300, 256, 3, 1, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 _UNKNOWN = 1e-9
-#: Runs of letters this long are scored in logarithms, as products of so many factors vanish.
+#: Runs of letters this long are taken one at a time with rescaled sums, as products of so many
+#: factors vanish.
 _LONGEST = 32
 _CACHE_WORDS = 200_000
 _TRIES: dict[str, Trie] = {}
@@ -111,13 +113,42 @@ def train_pieces(counts: dict[str, int], model_file: str, rounds: int = ROUNDS,
     words = [w for w in counts if len(w) < _LONGEST]
     lattice = Lattice([_START + w for w in words], model_file)
     c = np.array([counts[w] for w in words], float)
+    long = [(counts[w], trie(model_file).edges([_START + w])) for w in counts if len(w) >= _LONGEST]
     for _ in range(rounds):
         got = lattice.expected(prob, c)
+        for n, edges in long:
+            long_expected(edges, prob, n, got)
         got[ids] += smooth
         prob = got / got.sum()
     return prob
 
 
+def long_expected(edges: tuple[np.ndarray, ...], prob: np.ndarray, count: float, out: np.ndarray) -> None:
+    """Adds the expected counts of the pieces in one long run that occurs so often. The sums up to a
+    place and from it on are scaled place by place; pieces reach a few places back, so the scales
+    between a piece's ends are multiplied out."""
+    n, (_, _, start, end, piece) = int(edges[0][0]), edges
+    order = np.argsort(end, kind="stable")
+    start, end, piece = start[order], end[order], piece[order]
+    p = np.where(piece >= 0, prob[piece], _UNKNOWN)
+    cuts = np.searchsorted(end, np.arange(n + 2))
+    f, log = np.zeros(n + 1), np.zeros(n + 1)
+    f[0] = 1.0
+    for j in range(1, n + 1):
+        a, b = cuts[j], cuts[j + 1]
+        i = start[a:b]
+        total = (f[i] * p[a:b] * np.exp(log[i] - log[j - 1])).sum()
+        f[j], log[j] = 1.0, log[j - 1] + np.log(max(total, 1e-300))
+    back = np.zeros(n + 1)  # chance that a cut is at a place, given the run
+    back[n] = count
+    for j in range(n, 0, -1):
+        a, b = cuts[j], cuts[j + 1]
+        share = back[j] * f[start[a:b]] * p[a:b] * np.exp(log[start[a:b]] - log[j])
+        np.add.at(back, start[a:b], share)
+        known = piece[a:b] >= 0
+        np.add.at(out, piece[a:b][known], share[known])
+
+
 class Lattice:
     """All segmentations of many short words, laid out for array operations: edges by end."""
 
@@ -235,22 +266,23 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(scores).sum())
 
 
-def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS, langs: int = LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from documents outside the held-out fold."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT_FOLD))
-    # the ids of the sample first, then only their texts; every language keeps a bounded number
-    rank = Window.partitionBy("lang").orderBy("h", "doc_id")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    marked = usable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), salt.alias("salt"))
-    first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    marked = marked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
-    chosen = marked.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_lang).select("lang", "doc_id").distinct()
-    # at most docs_per_lang rows for each language, and the languages are few
-    sample = usable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT_FOLD)).select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # at most `langs` rows
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    # the smallest hashes lie below a limit that leaves about twice as many as asked, so only those
+    # are ranked, however many documents a language has
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
+    near = usable.select("lang", "doc_id", u.alias("u")).join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("n") <= 2 * docs_per_lang + 100)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    chosen = near.withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("lang", "doc_id").distinct()
+    # at most docs_per_lang rows for each of at most `langs` languages
+    sample = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
-        for t in pdf["text"]:
+        for t in pdf.sort_values("doc_id", na_position="first")["text"]:
             counts.update(_LETTERS.findall(t.lower()))
         prob = train_pieces(counts, model_file, rounds)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [prob.astype("<f8").tobytes()]})
@@ -268,9 +300,9 @@ def _scorer(key: str, model: tuple, model_file: str) -> Scorer:
     return _SCORERS[key]
 
 
-def identify(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> DataFrame:
+def identify(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS, langs: int = LANGS) -> DataFrame:
     """doc_id, held_out, lang_pred, score (probability of the language, all equally likely before)."""
-    model = train(docs, model_file, docs_per_lang, rounds)
+    model = train(docs, model_file, docs_per_lang, rounds, langs)
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def rows(b: dict) -> dict:

@@ -132,7 +132,7 @@ def fit_labels(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int,
 
 def _shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:24]:
+    for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)

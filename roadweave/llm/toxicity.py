@@ -13,8 +13,7 @@ a toxic document is toxic through at least one word, not known which, so its wor
 sides, weighted, and training repeats with the words that the machine itself picks out as witnesses.
 A logistic rule over a document's highest word margins turns them into a score.
 
-Folding the map into the SVM leaves a quadratic form in a word's triples, of which the strongest
-directions are kept; a word is scored once for each process from the triples it shares with
+Folding the map into the SVM leaves a quadratic form in a word's triples; a word is scored once for each process from the triples it shares with
 landmarks. Training takes a bounded sample, the ``sample`` labelled
 documents with the smallest id hashes outside the held-out fold; all texts are scored whole.
 
@@ -33,15 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold, map_arrow, own_cache
 
 SAMPLE, LANDMARKS, FOLDS = 2500, 96, 5
 DECAY, SPAN, POWER = 0.7, 5, 2
-#: Directions kept of the folded machine.
-RANK = 32
-#: Words seen in one clean document only that training looks at; the rest are weighed through these.
-RARE_WORDS = 20_000
 _CACHE_WORDS, _LONGEST = 200_000, 40
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _EDGES = ".,;:!?\"'()[]{}|#*$%&<>-_=+/\\`~"
@@ -134,16 +130,16 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         return self.shared(words, self.table) ** POWER
 
-    def folded(self, alpha: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-        """The weighted sum of squared kernel values is a quadratic form in a word's triples, whose
-        strongest directions and their weights these are."""
+    def folded(self, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted sum of squared kernel values is a quadratic form in a word's triples: its
+        directions and their weights, without those that are zero to the precision in use."""
         table = self.table.astype(float)
         value, vector = np.linalg.eigh(table.T @ table)
         ok = value > 1e-9
         half = (vector[:, ok] * np.sqrt(value[ok])) @ vector[:, ok].T
         back = (vector[:, ok] / np.sqrt(value[ok])) @ vector[:, ok].T
         weight, direction = np.linalg.eigh(half @ (alpha[:, None] * half))
-        strong = np.argsort(-np.abs(weight), kind="stable")[:rank]
+        strong = np.flatnonzero(np.abs(weight) > 1e-6 * np.abs(weight).max(initial=0))
         return (table @ back @ direction[:, strong]).astype(np.float32), weight[strong].astype(np.float32)
 
 
@@ -158,14 +154,18 @@ class Model:
     rule: np.ndarray
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient steps; deterministic."""
-    weight = weight / weight.sum()
-    step = 1 / (reg + 2 * (1 + float(weight @ np.einsum("ij,ij->i", x, x))))
-    w = z = np.zeros(x.shape[1] + 1)
+def _svm(parts: list[tuple[np.ndarray, float, np.ndarray]], reg: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by accelerated gradient steps; deterministic. Its rows come in parts
+    (rows, side, weights), so no copy of them is made."""
+    whole = sum(float(weight.sum()) for _, _, weight in parts)
+    parts = [(x, y, weight / whole) for x, y, weight in parts if len(x)]
+    step = 1 / (reg + 2 * (1 + sum(float(weight @ np.einsum("ij,ij->i", x, x)) for x, _, weight in parts)))
+    w = z = np.zeros(parts[0][0].shape[1] + 1)
     for t in range(rounds):
-        gap = weight * y * np.maximum(0, 1 - y * (x @ z[:-1].astype(x.dtype) + z[-1]))
-        grad = reg * np.append(z[:-1], 0) - 2 * np.append(gap.astype(x.dtype) @ x, gap.sum())
+        grad = reg * np.append(z[:-1], 0)
+        for x, y, weight in parts:
+            gap = weight * y * np.maximum(0, 1 - y * (x @ z[:-1].astype(x.dtype) + z[-1]))
+            grad -= 2 * np.append(gap.astype(x.dtype) @ x, gap.sum())
         new = z - step * grad
         z, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
@@ -202,6 +202,11 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[i] for i in out]
 
 
+def pieces(word: str) -> list[str]:
+    """Long runs are taken in overlapping pieces, in training and in scoring."""
+    return [word[a : a + _LONGEST] for a in range(0, max(1, len(word) - SPAN), _LONGEST - SPAN)]
+
+
 def gapped(word: str) -> list[str]:
     """A word with a character put in: what the machine is also shown of likely insults."""
     m = len(word) // 2
@@ -213,7 +218,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [[[w[:_LONGEST] for w in s] for s in sentences(t or "")] for t in texts]
+    docs = [[[p for w in s for p in pieces(w)] for s in sentences(t or "")] for t in texts]
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for d, t in zip(docs, toxic, strict=True):
         seen[t].update({w for s in d for w in s})
@@ -229,34 +234,26 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     marks = Landmarks(sorted({*most, *(vocab[i] for i in common)}))
     value, vector = np.linalg.eigh(marks.kernel(marks.words).astype(float))
     root = (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])).astype(np.float32)
-    # of the many words of one clean document only a few are looked at, and weighed for all
-    rare = np.flatnonzero((pos == 0) & (neg == 1))
-    step = max(1, -(-len(rare) // RARE_WORDS))
-    keep = np.sort(np.concatenate([np.flatnonzero((pos > 0) | (neg > 1)), rare[::step]]))
-    weight_neg = np.where((pos[keep] == 0) & (neg[keep] == 1), step, neg[keep])
-    phi = marks.kernel([vocab[i] for i in keep]) @ root
-    inner = np.full(len(vocab), -1)
-    inner[keep] = np.arange(len(keep))
+    phi = marks.kernel(vocab) @ root
     # sentences of toxic documents, end to end
-    at = [[inner[place[w]] for w in s] for d, t in zip(docs, toxic, strict=True) if t for s in d]
+    at = [[place[w] for w in s] for d, t in zip(docs, toxic, strict=True) if t for s in d]
     flat, begins = np.array([i for s in at for i in s]), np.cumsum([0, *map(len, at)])[:-1]
-    likely = lift[keep] > 2
-    weight_pos = np.where(likely, np.maximum(pos[keep] - share * neg[keep], 0), 0)
+    likely = lift > 2
+    weight_pos = np.where(likely, np.maximum(pos - share * neg, 0), 0)
     w, bias = np.zeros(root.shape[1]), -1.0
-    altered = [(g, i) for i in np.flatnonzero(lift[keep] > 4) for g in gapped(vocab[keep[i]])]
+    altered = [(g, i) for i in np.flatnonzero(lift > 4) for g in gapped(vocab[i])]
     phi_altered, origin = marks.kernel([g for g, _ in altered]) @ root, np.array([i for _, i in altered], np.int64)
     for _ in range(rounds):
         if not weight_pos.sum():
             break
-        x = np.vstack([phi[weight_pos > 0], phi_altered, phi])
-        sign = np.concatenate([np.ones(len(x) - len(keep)), -np.ones(len(keep))])
-        of_pos = np.concatenate([weight_pos[weight_pos > 0], weight_pos[origin] / 6])
-        w, bias = _svm(x, sign, np.concatenate([of_pos / of_pos.sum(), 2 * weight_neg / weight_neg.sum()]), 1e-5)
+        of_pos = weight_pos.sum() + weight_pos[origin].sum() / 6
+        some = np.flatnonzero(weight_pos)
+        w, bias = _svm([(phi[some], 1.0, weight_pos[some] / of_pos), (phi_altered, 1.0, weight_pos[origin] / 6 / of_pos), (phi, -1.0, 2 * neg / neg.sum())], 1e-5)
         margin = np.where(likely, phi @ w + bias, -np.inf)[flat]
         # witnesses: the word of each toxic sentence that the machine marks most, if it marks any
         best = np.maximum.reduceat(margin, begins)
         hit = (margin == np.repeat(best, np.diff([*begins, len(flat)]))) & (margin > 0)
-        weight_pos = np.bincount(flat[hit], minlength=len(keep)).astype(float)
+        weight_pos = np.bincount(flat[hit], minlength=len(vocab)).astype(float)
     scorer = WordScorer(Model(marks.words, root @ w, bias, np.zeros(7)))
     feats = np.array([doc_features(scorer.margins([u for s in d for u in s])) for d in docs])
     return Model(marks.words, root @ w, bias, _logistic(feats, y.astype(float)))
@@ -270,14 +267,16 @@ class WordScorer:
         self.values = np.zeros(4096)
 
     def _add(self, words: list[str]) -> None:
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            # long runs: overlapping pieces, the highest margin counts
-            for a in range(0, max(1, len(w) - SPAN), _LONGEST - SPAN):
-                pieces.append(w[a : a + _LONGEST])
-                owner.append(i)
+        cut, owner = list(words), np.arange(len(words))
+        long = [i for i, w in enumerate(words) if len(w) > _LONGEST]
+        if long:  # of the pieces of a long run the highest margin counts
+            parts = [pieces(words[i]) for i in long]
+            for i, p in zip(long, parts, strict=True):
+                cut[i] = p[0]
+            cut += [x for p in parts for x in p[1:]]
+            owner = np.concatenate([owner, np.repeat(long, [len(p) - 1 for p in parts])])
         got = np.full(len(words), -np.inf)
-        np.maximum.at(got, owner, (self.marks.shared(pieces, self.table) ** 2) @ self.weight + self.model.bias)
+        np.maximum.at(got, owner, (self.marks.shared(cut, self.table) ** 2) @ self.weight + self.model.bias)
         used = len(self.place)
         if used + len(words) > len(self.values):
             self.values = np.append(self.values, np.zeros(max(len(words), len(self.values))))
@@ -328,27 +327,26 @@ def _scorer(key: str, model: Model) -> WordScorer:
     return _MODELS[key]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted; rows keep no other column."""
-    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample).select(
-        "doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted")
-    )
-
-
-def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents' rows with the column toxic_score, in one pass without a shuffle."""
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, columns: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns) and ``score``, in one pass without a shuffle."""
     model = fit(*training_sample(docs, labels, sample))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    columns = docs.columns
+    wrapped = docs.select(F.struct(*columns).alias("row"), "text")
 
     def rows(b: dict) -> dict:
         if shared.value is None:
-            return b | {"toxic_score": pa.array([0.0] * len(b["text"]), pa.float64())}
-        return b | {"toxic_score": pa.array(_scorer(key, shared.value).scores(b["text"].to_pylist()), pa.float64())}
+            return {"row": b["row"], "score": pa.array([0.0] * len(b["text"]), pa.float64())}
+        return {"row": b["row"], "score": pa.array(_scorer(key, shared.value).scores(b["text"].to_pylist()), pa.float64())}
+
+    return map_arrow(wrapped, ["row", "text"], StructType([wrapped.schema["row"], StructField("score", DoubleType())]), rows, ["row", "score"])
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double"
-    return map_arrow(docs, columns, schema, rows, [*columns, "toxic_score"])
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted; rows keep no other column."""
+    scored = _scored(docs, labels, sample, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score")
+    return scored.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    return with_score(docs, labels, sample).where("toxic_score < 0.5").drop("toxic_score")
+    """The rows whose text scores below one half, as they are, whatever their columns are named."""
+    return _scored(docs, labels, sample, docs.columns).where("score < 0.5").select("row.*")

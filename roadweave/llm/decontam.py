@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 #: Up to this many item shingles are tested as a set within each row.
 SET_LIMIT = 20_000
 #: Up to this many item rows a table of theirs is broadcast (tens of bytes each).
@@ -83,8 +83,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2"), "text")
     all_docs = shingled(keyed, ["doc_id", "k1", "k2"])
     if n_first <= set_limit:
-        wanted = [r.h for r in first.collect()]  # at most set_limit
-        met = all_docs.where(F.arrays_overlap("h", F.lit(wanted).cast("array<bigint>")))
+        wanted = ", ".join(f"{r.h}L" if r.h > -(2**63) else f"cast({r.h} as bigint)" for r in first.collect())  # at most set_limit
+        # a hash set of constants, asked once for each of the text's shingles
+        met = all_docs.where(f"exists(h, x -> x in ({wanted}))" if wanted else "false")
     else:
         posted = all_docs.select("k1", "k2", F.explode("h").alias("h"))
         met = all_docs.join(posted.join(small(first, n_first), "h").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
@@ -100,19 +101,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     starts = F.expr("array_distinct(transform(filter(p, (x, i) -> i + need <= size(p) AND p[i + need - 1] - x < n), x -> least(x, greatest(len - n, 0))))")
     windows = found.withColumn("need", need).select("k1", "k2", "n", F.explode(starts).alias("at")).distinct()
     windows = windows.join(texts, ["k1", "k2"]).select("k1", "k2", "n", "at", F.expr("slice(h, at + 1, n)").alias("h"))
-    windows = windows.withColumn("fp", simhash("h"))
+    windows = materialise(windows.withColumn("fp", simhash("h")), "leak-windows")
 
     probes = _probes(radius // 8)
     posted = bench.select("item", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("s"))
     posted = posted.select("item", "n", "item_fp", F.col("s.b").alias("b"), F.explode(F.array(*(F.col("s.v").bitwiseXOR(F.lit(m)) for m in probes))).alias("v"))
-    asked = windows.select("k1", "k2", "n", "at", "fp", "h", F.explode(_blocks(F.col("fp"))).alias("s")).select("k1", "k2", "n", "at", "fp", "h", F.col("s.b").alias("b"), F.col("s.v").alias("v"))
+    # keys and fingerprints only go through the index; the shingles of pairs within reach are fetched
+    asked = windows.select("k1", "k2", "n", "at", "fp", F.explode(_blocks(F.col("fp"))).alias("s")).select("k1", "k2", "n", "at", "fp", F.col("s.b").alias("b"), F.col("s.v").alias("v"))
     near = asked.join(small(posted, 8 * len(probes) * n_items), ["n", "b", "v"])
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # a pair meets under several bytes: the first byte within reach speaks for it
     diff = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # a pair meets under several bytes: the first byte within reach speaks for it
     reach = [F.when(F.bit_count(F.shiftright(diff, 8 * b).bitwiseAND(F.lit(255).cast("long"))) <= radius // 8, F.lit(b)) for b in range(8)]
-    near = near.where((apart <= radius) & (F.col("b") == F.coalesce(*reach)))
-    pairs = near.join(small(bench.select("item", "item_id", "shingles"), n_rows), "item")
+    near = near.where((F.bit_count(diff) <= radius) & (F.col("b") == F.coalesce(*reach))).select("k1", "k2", "n", "at", "item")
+    pairs = near.join(windows.select("k1", "k2", "n", "at", "h"), ["k1", "k2", "n", "at"]).join(small(bench.select("item", "item_id", "shingles"), n_rows), "item")
     common = F.expr("aggregate(shingles, 0, (a, s) -> a + least(s.c, size(filter(h, x -> x = s.h))))")
     scored = pairs.select("k1", "k2", "item_id", "at", (common / (F.size("h") + F.col("n") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     best = scored.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"))).alias("m"))
@@ -122,6 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """Documents whose text holds no item; judged by text, so rows without an id are too."""
-    leaks = find_leaks(docs, benchmark, **options).select("k1", "k2").distinct()
-    keyed = docs.withColumns({"_rw_k1": F.xxhash64("text"), "_rw_k2": F.xxhash64(F.lit("2"), "text")})
-    return keyed.join(leaks, (F.col("_rw_k1") == F.col("k1")) & (F.col("_rw_k2") == F.col("k2")), "left_anti").drop("_rw_k1", "_rw_k2")
+    leaks = materialise(find_leaks(docs, benchmark, **options).select("k1", "k2").distinct(), "leak-keys")
+    # the rows travel in a struct of their own, so their columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2"))
+    known = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+    return keyed.join(known, ["k1", "k2"], "left_anti").select("row.*")

@@ -8,9 +8,10 @@ twenty triples of a (3, 3, 2) partition of the positions (24-bit keys), or all s
 posting list the shared positional bytes of each pair are tallied, pairs under the guaranteed
 minimum are dropped and the rest verified by their differing bits.
 
-Long posting lists (families of near copies) are dealt into blocks; a task compares two blocks and
-returns a spanning forest of their links, so work is spread and output stays linear in the number
-of fingerprints, while no link between different fingerprints is lost to the components.
+Long posting lists (families of near copies) are dealt into blocks (``dealing``); a task compares the
+members of one or two blocks and returns a spanning forest of their links, so work is spread, rows
+and output grow with the fingerprints, and no link between different fingerprints is lost to the
+components.
 
 Cases: null and blank texts have fingerprint zero and link like any other; repeated rows and rows
 with one doc_id are all returned; a null doc_id is returned with the component of its fingerprint
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
+from .dealing import lists_of, ring, still_apart
 from .graph import components
 
 SHINGLE, RADIUS, SEED, BLOCK = 4, 4, 42, 1024
@@ -84,11 +86,14 @@ def _posting_keys(fp: Column, wide: bool) -> Column:
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of two arrays that share enough positional bytes and then differ in few bits."""
+    """Which pairs of two arrays are linked: the positional bytes they share are tallied, pairs under
+    the guaranteed minimum go, and only those that reach it are verified by their differing bits."""
     x = np.bitwise_xor(a, b)
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1) if x.ndim == 1 else None
-    ok = np.bitwise_count(x) <= radius
-    return ok if shared is None else ok & (shared >= 8 - radius)
+    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    reach = np.flatnonzero(tally >= 8 - radius)
+    out = np.zeros(len(x), bool)
+    out[reach] = np.bitwise_count(x[reach]) <= radius
+    return out
 
 
 def _forest(fps: np.ndarray, side: np.ndarray, mixed: bool, radius: int) -> list[tuple[int, int]]:
@@ -173,14 +178,20 @@ def link_components(distinct: DataFrame, radius: int = RADIUS, block: int = BLOC
         raise ValueError("the index guarantees shared positional bytes for a radius up to 4")
     if wide is None:
         wide = distinct.count() > WIDE_FROM
-    posted = distinct.select(_posting_keys(F.col("fp"), wide).alias("key"), "fp")
-    # lists of one fingerprint have no pair; long lists are dealt into blocks
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = posted.join(lists, "key").withColumn("side", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
-    dealt = dealt.select("key", "fp", "side", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "fp")
-    pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(lambda it: _links(it, radius), "u long, v long")
-    return components(pairs.select("u", "v"), "simhash-links")
+    posted = distinct.select(_posting_keys(F.col("fp"), wide).alias("list"), F.col("fp").alias("node"))
+    # lists of one fingerprint have no pair
+    lists = lists_of(posted, block)
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select(F.col("list").alias("key"), "lo", "hi", "side", F.col("node").alias("fp"))
+        return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(lambda it: _links(it, radius), "u long, v long")
+
+    named = components(compared(ring(posted, lists)), "simhash-links")
+    long = materialise(lists.where("blocks > 2"), "simhash-long")
+    if long.isEmpty():
+        return named
+    late = compared(still_apart(posted, long, named, block))
+    return components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK, wide: bool | None = None) -> DataFrame:

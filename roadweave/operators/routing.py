@@ -1,28 +1,39 @@
 """Shortest paths in bulk.
 
 A snapshot's graph is small beside the work asked of it (every closure, profile and metric), so the
-arcs are broadcast as sorted arrays, once their size is checked, and the requests are what is
-distributed. Each request runs a search from both ends, so a dead end is exhausted from its own side
-and the answer "no route" costs what the smaller side does. A budget of visited nodes turns into
-UNRESOLVED_TIMEOUT, never into DISCONNECTED."""
+arcs are broadcast as sorted arrays, once their number is checked, and the requests are what is
+distributed. Every Python worker lays the graph out once, as flat arrays by node, and keeps it for
+all its tasks. A request's search runs from both ends, so a dead end is exhausted from its own side
+and the answer "no route" costs what the smaller side does; requests for many targets share one
+search for each source. A budget of visited nodes turns into UNRESOLVED_TIMEOUT, never into
+DISCONNECTED.
+
+A path that makes a banned turn is not an answer: the request is searched again over the graph whose
+nodes are arcs, where banned turns have no edge, and marked as such."""
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-#: Arcs up to which a graph is broadcast (about 40 bytes each).
+#: Arcs up to which a graph is broadcast (48 bytes each, 100 laid out).
 MAX_ARCS = 20_000_000
-OK, DISCONNECTED, TIMEOUT, UNSUPPORTED = "OK", "DISCONNECTED", "UNRESOLVED_TIMEOUT", "UNSUPPORTED_PROFILE"
+OK, DISCONNECTED, TIMEOUT, UNSUPPORTED, TURN = "OK", "DISCONNECTED", "UNRESOLVED_TIMEOUT", "UNSUPPORTED_PROFILE", "TURN_RESTRICTION_UNSUPPORTED"
 #: Column that admits a profile's traffic, and the one that is a metric's cost.
 PROFILES = {"car": "mode_car", "heavy": "mode_heavy", "emergency": None}
 METRICS = {"distance": "cost_mm", "time": "cost_ms"}
+#: Profiles that banned turns bind.
+BOUND = ("car", "heavy")
+BUDGET = 5_000_000
 
 
 def scan_edges(arcs: DataFrame, profile: str = "car", metric: str = "distance", excluded: DataFrame | None = None) -> DataFrame:
@@ -39,180 +50,463 @@ def scan_edges(arcs: DataFrame, profile: str = "car", metric: str = "distance",
     return a.select(F.col("arc_id").alias("id"), "source", "target", F.col(cost).alias("cost"), F.lit(-1).cast("long").alias("reverse_cost"))
 
 
+def scan_overlay(spark, pieces: list[tuple[int, int, int, float]]) -> DataFrame:  # noqa: ANN001
+    """Arcs that exist for one request: (id, source, target, cost, reverse_cost). A cost that is no
+    number, infinite or negative fails the request."""
+    rows = spark.createDataFrame(pieces, "id long, source long, target long, cost double")
+    sound = F.coalesce(~F.isnan("cost") & (F.col("cost") >= 0) & (F.col("cost") < float("inf")), F.lit(False))
+    cost = F.when(sound, F.col("cost")).otherwise(F.raise_error(F.concat(F.lit("overlay arc with an unusable cost: "), F.col("id").cast("string"))).cast("double"))
+    return rows.select("id", "source", "target", cost.alias("cost"), F.lit(-1.0).alias("reverse_cost"))
+
+
+def _csr(node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(node, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(node, minlength=n))))
+
+
 @dataclass
 class Graph:
-    """Arcs by node, both ways, as plain lists for the search loops."""
+    """Arcs laid out by node, both ways. Arcs go by their place in the order of source and id."""
 
     nodes: dict[int, int]
-    out: list[list[tuple[int, int, int]]]
-    into: list[list[tuple[int, int, int]]]
+    names: array
+    arc: array
+    link: array
+    group: array
+    tail: array
+    head: array
+    cost_of: array
+    out_at: array
+    into_at: array
+    into: array
+    bans: dict[int, set[int]]
+    long_bans: list[list[int]]
 
     @staticmethod
-    def of(source: np.ndarray, target: np.ndarray, cost: np.ndarray, group: np.ndarray) -> Graph:
+    def of(arc: np.ndarray, link: np.ndarray, source: np.ndarray, target: np.ndarray, cost: np.ndarray, group: np.ndarray, bans: list[list[int]] | None = None) -> Graph:
         ids = np.unique(np.concatenate([source, target]))
-        s, t = np.searchsorted(ids, source).tolist(), np.searchsorted(ids, target).tolist()
-        out: list[list] = [[] for _ in ids]
-        into: list[list] = [[] for _ in ids]
-        for a, b, c, g in zip(s, t, cost.tolist(), group.tolist(), strict=True):
-            out[a].append((b, c, g))
-            into[b].append((a, c, g))
-        return Graph(dict(zip(ids.tolist(), range(len(ids)), strict=True)), out, into)
-
-    def cost(self, source: int, target: int, banned: int | None = None, budget: int = 5_000_000) -> tuple[str, int | None]:
-        """Least cost from source to target without arcs of a banned group."""
+        s, t = np.searchsorted(ids, source), np.searchsorted(ids, target)
+        order = np.lexsort((arc, s))
+        arc, link, s, t, cost, group = (x[order] for x in (arc, link, s, t, cost, group))
+        _, out_at = _csr(s, len(ids))
+        into, into_at = _csr(t, len(ids))
+        pairs: dict[int, set[int]] = {}
+        for b in bans or []:
+            if len(b) == 2:
+                pairs.setdefault(b[0], set()).add(b[1])
+        q = lambda x: array("q", np.ascontiguousarray(x, np.int64).tobytes())
+        return Graph(dict(zip(ids.tolist(), range(len(ids)), strict=True)), q(ids), q(arc), q(link), q(group), q(s), q(t), q(cost), q(out_at), q(into_at), q(into), pairs, [b for b in bans or [] if len(b) > 2])
+
+    def search(self, source: int, target: int, banned: int | None = None, budget: int = BUDGET) -> tuple[str, int | None, list[int]]:
+        """Status, cost and arcs (by place) of a cheapest path without arcs of a banned group."""
         if source == target:
-            return OK, 0
+            return OK, 0, []
         s, t = self.nodes.get(source), self.nodes.get(target)
         if s is None or t is None:
-            return DISCONNECTED, None
+            return DISCONNECTED, None, []
         near: tuple[dict[int, int], dict[int, int]] = ({s: 0}, {t: 0})
+        via: tuple[dict[int, int], dict[int, int]] = ({}, {})
         heaps: tuple[list, list] = ([(0, s)], [(0, t)])
         done: tuple[set[int], set[int]] = (set(), set())
-        sides = (self.out, self.into)
-        best = None
+        cost_of, group = self.cost_of, self.group
+        best = meet = None
         visited = 0
         while heaps[0] and heaps[1]:
             if best is not None and heaps[0][0][0] + heaps[1][0][0] >= best:
                 break
-            k = 0 if len(heaps[0]) <= len(heaps[1]) else 1
-            d, n = heapq.heappop(heaps[k])
-            if n in done[k]:
+            side = 0 if len(heaps[0]) <= len(heaps[1]) else 1
+            d, n = heapq.heappop(heaps[side])
+            if n in done[side]:
                 continue
-            done[k].add(n)
+            done[side].add(n)
             visited += 1
             if visited > budget:
-                return TIMEOUT, None
-            mine, other = near[k], near[1 - k]
-            for m, c, g in sides[k][n]:
-                if g == banned:
+                return TIMEOUT, None, []
+            mine, other, how = near[side], near[1 - side], via[side]
+            if side == 0:
+                places, far = range(self.out_at[n], self.out_at[n + 1]), self.head
+            else:
+                places, far = self.into[self.into_at[n] : self.into_at[n + 1]], self.tail
+            for k in places:
+                if group[k] == banned:
                     continue
-                e = d + c
+                m, e = far[k], d + cost_of[k]
                 if e < mine.get(m, e + 1):
-                    mine[m] = e
-                    heapq.heappush(heaps[k], (e, m))
+                    mine[m], how[m] = e, k
+                    heapq.heappush(heaps[side], (e, m))
                     if m in other and (best is None or e + other[m] < best):
-                        best = e + other[m]
-        return (OK, best) if best is not None else (DISCONNECTED, None)
+                        best, meet = e + other[m], m
+        if meet is None:
+            return DISCONNECTED, None, []
+        path, n = [], meet
+        while n != s:
+            path.append(via[0][n])
+            n = self.tail[path[-1]]
+        path.reverse()
+        n = meet
+        while n != t:
+            path.append(via[1][n])
+            n = self.head[path[-1]]
+        return OK, best, path
+
+    def cost(self, source: int, target: int, banned: int | None = None, budget: int = BUDGET) -> tuple[str, int | None]:
+        return self.search(source, target, banned, budget)[:2]
+
+    def search_turns(self, source: int, target: int, banned: int | None = None, budget: int = BUDGET) -> tuple[str, int | None, list[int]]:
+        """The same over arcs as nodes: no banned turn, no turning back on a link."""
+        if source == target:
+            return OK, 0, []
+        s, t = self.nodes.get(source), self.nodes.get(target)
+        if s is None or t is None:
+            return DISCONNECTED, None, []
+        near, via, done, heap = {}, {}, set(), []
+        for k in range(self.out_at[s], self.out_at[s + 1]):
+            if self.group[k] != banned:
+                near[k] = self.cost_of[k]
+                heap.append((near[k], k))
+        heapq.heapify(heap)
+        while heap:
+            d, k = heapq.heappop(heap)
+            if k in done:
+                continue
+            done.add(k)
+            if len(done) > budget:
+                return TIMEOUT, None, []
+            n = self.head[k]
+            if n == t:
+                path = [k]
+                while path[-1] in via:
+                    path.append(via[path[-1]])
+                return OK, d, path[::-1]
+            no = self.bans.get(self.link[k], ())
+            for j in range(self.out_at[n], self.out_at[n + 1]):
+                if self.link[j] == self.link[k] or self.link[j] in no or self.group[j] == banned:
+                    continue
+                e = d + self.cost_of[j]
+                if e < near.get(j, e + 1):
+                    near[j], via[j] = e, k
+                    heapq.heappush(heap, (e, j))
+        return DISCONNECTED, None, []
+
+    def links_of(self, path: list[int]) -> list[int]:
+        """Links in the order passed, each once in a row."""
+        out: list[int] = []
+        for k in path:
+            if not out or out[-1] != self.link[k]:
+                out.append(self.link[k])
+        return out
 
+    def violates(self, links: list[int], pairs_too: bool = True) -> bool:
+        if pairs_too and self.bans and any(b in self.bans.get(a, ()) for a, b in zip(links, links[1:], strict=False)):
+            return True
+        return any(links[i : i + len(b)] == b for b in self.long_bans for i in range(len(links) - len(b) + 1))
 
-def collect_graph(edges: DataFrame, group: str) -> tuple[np.ndarray, ...]:
-    """The edges as arrays, after a check of their number; ``group`` is what closures ban."""
+    def route(self, source: int, target: int, banned: int | None = None, budget: int = BUDGET) -> tuple[str, int | None, list[int], bool]:
+        """Status, cost, arcs and whether the search over arcs was needed. Bans of more than two
+        links have no edge to leave out: a path that still makes one is unsupported."""
+        status, cost, path = self.search(source, target, banned, budget)
+        if status != OK or not self.violates(self.links_of(path)):
+            return status, cost, path, False
+        status, cost, path = self.search_turns(source, target, banned, budget)
+        if status == OK and self.violates(self.links_of(path), False):
+            return TURN, None, [], True
+        return status, cost, path, True
+
+    def tree(self, source: int, targets: set[int] | None = None, budget: int = BUDGET) -> tuple[str, dict[int, int], dict[int, int]]:
+        """Costs by node, and the arc each is reached by (of equally good ones the least id), from
+        one source: of all nodes, or until the targets are settled."""
+        s = self.nodes.get(source)
+        if s is None:
+            return OK, {}, {}
+        left = None if targets is None else {self.nodes[t] for t in targets if t in self.nodes}
+        best, via, done, heap = {s: 0}, {}, set(), [(0, s)]
+        while heap and (left is None or left):
+            d, n = heapq.heappop(heap)
+            if n in done:
+                continue
+            done.add(n)
+            if len(done) > budget:
+                return TIMEOUT, {}, {}
+            if left is not None:
+                left.discard(n)
+            for k in range(self.out_at[n], self.out_at[n + 1]):
+                m, e = self.head[k], d + self.cost_of[k]
+                now = best.get(m)
+                if now is None or e < now:
+                    best[m], via[m] = e, k
+                    heapq.heappush(heap, (e, m))
+                elif e == now and m in via and self.arc[k] < self.arc[via[m]]:
+                    via[m] = k
+        return OK, best, via
+
+    def path_back(self, via: dict[int, int], source: int, target: int) -> list[int]:
+        out, n, s = [], self.nodes[target], self.nodes[source]
+        while n != s:
+            out.append(via[n])
+            n = self.tail[out[-1]]
+        return out[::-1]
+
+
+_GRAPHS: dict[str, Graph] = {}
+
+
+def laid_out(key: str, shared) -> Graph:  # noqa: ANN001
+    """One graph for each worker process; tasks reach it through this module, as functions that are
+    shipped bring their own copy of what they close over."""
+    if key not in _GRAPHS:
+        _GRAPHS.clear()
+        _GRAPHS[key] = Graph.of(*shared.value)
+    return _GRAPHS[key]
+
+
+def share(edges: DataFrame, group: str | None = None, bans: DataFrame | None = None) -> tuple:
+    """Broadcasts the edges (id, source, target, cost, and link_id where they have it) after a check
+    of their number; ``group`` is the column that closures ban, ``bans`` are link sequences."""
     n = edges.count()
     if n > MAX_ARCS:
-        raise ValueError(f"{n} arcs are too many to broadcast; use connectivity.relax")
-    t = edges.select("source", "target", "cost", group).toArrow()
-    return tuple(np.asarray(t.column(i)) for i in range(4))
+        raise ValueError(f"{n} arcs are more than the {MAX_ARCS} that a worker lays out; part the network by component")
+    link = F.col("link_id") if "link_id" in edges.columns else F.col("id")
+    t = edges.select("id", link.cast("long").alias("l"), "source", "target", "cost", (F.col(group) if group else F.lit(0)).cast("long").alias("g")).toArrow()
+    sequences = [list(r.seq) for r in bans.select("seq").collect()] if bans is not None else []
+    return edges.sparkSession.sparkContext.broadcast((*(np.asarray(t.column(i)) for i in range(6)), sequences)), uuid.uuid4().hex
+
+
+def ban_sequences(restrictions: DataFrame) -> DataFrame:
+    return restrictions.select(F.array("from_link", "to_link").alias("seq"))
 
 
-_GRAPHS: dict[int, Graph] = {}
+def _spread(requests: DataFrame) -> DataFrame:
+    return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism * 4)
 
 
-def route_costs(requests: DataFrame, edges: DataFrame, group: str, budget: int = 5_000_000) -> DataFrame:
-    """``requests(request_id, source, target, banned)`` -> their rows with status and cost. banned
-    is a value of the edges' ``group`` column, or null for the intact graph."""
-    spark = requests.sparkSession
-    arrays = collect_graph(edges, group)
-    shared, key = spark.sparkContext.broadcast(arrays), id(arrays)
-    names = [*requests.columns, "status", "cost"]
+def route(requests: DataFrame, edges: DataFrame, group: str | None = None, bans: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
+    """``requests(source, target, banned, ...)`` -> their rows with status, cost, arcs, links and
+    exact (the search over arcs was needed). banned is a value of the edges' ``group`` column, or
+    null for the intact graph."""
+    shared, key = share(edges, group, bans)
+    names = [*requests.columns, "status", "cost", "arcs", "links", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _GRAPHS:
-            _GRAPHS.clear()
-            _GRAPHS[key] = Graph.of(*shared.value)
-        graph = _GRAPHS[key]
+        graph = laid_out(key, shared)
         for b in batches:
             ask = zip(*(b.column(c).to_pylist() for c in ("source", "target", "banned")), strict=True)
-            got = [graph.cost(s, t, x, budget) for s, t, x in ask]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], names=names)
+            got = [graph.route(s, t, x, budget) for s, t, x in ask]
+            found = [g[0] == OK for g in got]
+            arcs = [[graph.arc[k] for k in g[2]] if ok else None for g, ok in zip(got, found, strict=True)]
+            links = [graph.links_of(g[2]) if ok else None for g, ok in zip(got, found, strict=True)]
+            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array(arcs, pa.list_(pa.int64())), pa.array(links, pa.list_(pa.int64())), pa.array([g[3] for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
+
+    longs = ArrayType(LongType())
+    schema = StructType([*requests.schema.fields, StructField("status", StringType()), StructField("cost", LongType()), StructField("arcs", longs), StructField("links", longs), StructField("exact", BooleanType())])
+    return _spread(requests).mapInArrow(run, schema)
+
+
+def route_costs(requests: DataFrame, edges: DataFrame, group: str, budget: int = BUDGET) -> DataFrame:
+    """``requests(source, target, banned, ...)`` -> their rows with status and cost, without bans."""
+    return route(requests, edges, group, None, budget).drop("arcs", "links", "exact")
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", status string, cost long"
-    return requests.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, schema)
 
+def group_number(group: str | Column) -> Column:
+    """Closure groups by number, so that what is broadcast and compared is narrow."""
+    return F.xxhash64(group)
 
-def detours(links: DataFrame, arcs: DataFrame, profile: str = "car", metric: str = "distance", only: DataFrame | None = None) -> DataFrame:
-    """For each permitted direction of each link: the intact cost, the cost with the link closed,
-    what is added, the penalty, the ratio to the link, and the status. ``added`` may be negative
-    (another way was shorter anyway); the penalty is against the cheapest intact way. ``only`` has
-    the link_ids to close; by default every link is closed in turn."""
-    edges = scan_edges(arcs, profile, metric).join(arcs.select(F.col("arc_id").alias("id"), "link_id"), "id")
-    own = arcs.join(edges.select(F.col("id").alias("arc_id"), F.col("cost").alias("length")), "arc_id")
-    own = own.select("arc_id", "link_id", "source", "target", "length")
+
+def detours(links: DataFrame, arcs: DataFrame, profile: str = "car", metric: str = "distance", only: DataFrame | None = None, restrictions: DataFrame | None = None, scope: str = "link", budget: int = BUDGET) -> DataFrame:
+    """For each permitted direction of each link: the intact cost, the cost with the closure in
+    force, what is added, the penalty, the ratio to the link, and the status. ``added`` may be
+    negative (another way was shorter anyway); the penalty is against the cheapest intact way.
+
+    ``scope`` says what closing a link removes: the ``physical`` road (all links of its closure
+    group), the ``link``, or the one ``directed`` arc. ``only`` has the link_ids to close; by default
+    every link is closed in turn. A link that ends where it starts is a source data error."""
+    edges = scan_edges(arcs, profile, metric).withColumnRenamed("id", "arc_id")
+    column = {"physical": group_number("closure_group_id"), "link": F.col("link_id"), "directed": F.col("arc_id")}[scope]
+    known = arcs.select("arc_id", "link_id", column.alias("ban"))
+    edges = edges.join(known, "arc_id").withColumnRenamed("arc_id", "id")
+    own = edges.select(F.col("id").alias("arc_id"), "link_id", F.col("cost").alias("length"), "source", "target", "ban")
     if only is not None:
         own = own.join(only.select("link_id"), "link_id", "left_semi")
-    ask = own.select("arc_id", "link_id", "length", "source", "target", F.explode(F.array(F.lit(None).cast("long"), F.col("link_id"))).alias("banned"))
-    got = route_costs(ask, edges, "link_id")
+    ask = own.select("arc_id", "link_id", "length", "source", "target", F.explode(F.array(F.lit(None).cast("long"), F.col("ban"))).alias("banned"))
+    bans = ban_sequences(restrictions) if restrictions is not None and profile in BOUND else None
+    got = route(ask, edges, "ban", bans, budget)
     closed = F.col("banned").isNotNull()
+    pick = lambda c: F.max(F.when(closed, F.col(c)))
     whole = got.groupBy("arc_id", "link_id", "length").agg(
-        F.max(F.when(~closed, F.col("cost"))).alias("normal"), F.max(F.when(closed, F.col("cost"))).alias("alternative"), F.max(F.when(closed, F.col("status"))).alias("status")
+        F.max(F.when(~closed, F.col("cost"))).alias("normal"), pick("cost").alias("alternative"), pick("status").alias("status"), F.bool_or("exact").alias("turn_aware"), F.max(F.col("source") == F.col("target")).alias("loop")
     )
+    answer = lambda c: F.when(~F.col("loop"), c)
     return whole.select(
         "link_id",
         (F.col("arc_id") % 2).cast("int").alias("direction"),
         "length",
-        "normal",
-        "alternative",
-        (F.col("alternative") - F.col("length")).alias("added"),
-        (F.col("alternative") - F.col("normal")).alias("penalty"),
-        F.when(F.col("length") > 0, F.round(F.col("alternative") / F.col("length"), 3)).alias("ratio"),
-        "status",
+        answer(F.col("normal")).alias("normal"),
+        answer(F.col("alternative")).alias("alternative"),
+        answer(F.col("alternative") - F.col("length")).alias("added"),
+        answer(F.col("alternative") - F.col("normal")).alias("penalty"),
+        answer(F.when(F.col("length") > 0, F.round(F.col("alternative") / F.col("length"), 3))).alias("ratio"),
+        F.when(F.col("loop"), "SOURCE_DATA_ERROR").otherwise(F.col("status")).alias("status"),
+        "turn_aware",
     )
 
 
 def tree_costs(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """``sources(source)`` -> (source, node, cost) of every node each source reaches: one search
     serves all targets of a source, and sources are what is distributed."""
-    spark = sources.sparkSession
-    arrays = collect_graph(edges.withColumn("_g", F.lit(0).cast("long")), "_g")
-    shared, key = spark.sparkContext.broadcast(arrays), id(arrays)
+    shared, key = share(edges if "id" in edges.columns else edges.withColumn("id", F.lit(0).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _GRAPHS:
-            _GRAPHS.clear()
-            _GRAPHS[key] = Graph.of(*shared.value)
-        graph = _GRAPHS[key]
-        names = list(graph.nodes)
+        graph = laid_out(key, shared)
         for b in batches:
             for s in b.column(0).to_pylist():
-                if s not in graph.nodes:
-                    continue
-                best = {graph.nodes[s]: 0}
-                heap = [(0, graph.nodes[s])]
-                while heap:
-                    d, n = heapq.heappop(heap)
-                    if d > best[n]:
-                        continue
-                    for m, c, _ in graph.out[n]:
-                        if d + c < best.get(m, d + c + 1):
-                            best[m] = d + c
-                            heapq.heappush(heap, (d + c, m))
-                rows = [[s] * len(best), [names[n] for n in best], list(best.values())]
+                _, best, _ = graph.tree(s)
+                rows = [[s] * len(best), [graph.names[n] for n in best], list(best.values())]
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["source", "node", "cost"])
 
-    return sources.select(F.col("source").cast("long")).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "source long, node long, cost long")
+    return _spread(sources.select(F.col("source").cast("long"))).mapInArrow(run, "source long, node long, cost long")
+
+
+def many_paths(pairs: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``pairs(source, target)`` -> status, cost and arcs of each, one search for each source (and
+    task). A pair without a path is DISCONNECTED only if its search ended; a search stopped by its
+    budget leaves all its pairs unresolved."""
+    shared, key = share(edges)
+    longs = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = laid_out(key, shared)
+        for b in batches:
+            by: dict[int, list[int]] = {}
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by.setdefault(s, []).append(t)
+            for s, targets in by.items():
+                status, best, via = graph.tree(s, set(targets), budget)
+                rows = []
+                for t in targets:
+                    if s == t:
+                        rows.append((OK, 0, []))
+                    elif status != OK:
+                        rows.append((status, None, None))
+                    elif (n := graph.nodes.get(t)) in best:
+                        rows.append((OK, best[n], [graph.arc[k] for k in graph.path_back(via, s, t)]))
+                    else:
+                        rows.append((DISCONNECTED, None, None))
+                kinds = (pa.string(), pa.int64(), longs)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(targets), pa.int64()), pa.array(targets, pa.int64()), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(3))], names=["source", "target", "status", "cost", "arcs"])
+
+    asked = pairs.select(F.col("source").cast("long"), F.col("target").cast("long"))
+    # a source of very many targets is searched once for each of its salted parts
+    dealt = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism * 4, "source", F.pmod(F.xxhash64("target"), F.lit(4))).sortWithinPartitions("source", "target")
+    return dealt.mapInArrow(run, "source long, target long, status string, cost long, arcs array<long>")
 
 
-def movements(links: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Through movements of each closure group: pairs of an entry node and an exit node of its
-    boundary, with the cost through the intact network, the cost with the group closed, and whether
-    the closure interrupts the pair. Equal costs are kept and flagged, as another way is as good."""
+def summarise(paths: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each path (``keys`` and arcs): its distance, its time (null if any arc has none), and its
+    links, each once in a row. An arc that is not in the network fails, rather than to be left out
+    of a total."""
+    steps = paths.where("arcs is not null").select(*keys, F.posexplode("arcs").alias("place", "arc_id"))
+    met = steps.join(arcs.select("arc_id", "link_id", "cost_mm", "cost_ms", F.lit(True).alias("known")), "arc_id", "left")
+    known = F.when(F.col("known"), F.col("link_id")).otherwise(F.raise_error(F.concat(F.lit("unknown arc: "), F.col("arc_id").cast("string"))).cast("long"))
+    by = met.withColumn("link_id", known).groupBy(*keys).agg(
+        F.sum("cost_mm").alias("distance_mm"),
+        F.when(F.count("cost_ms") == F.count("*"), F.sum("cost_ms")).alias("time_ms"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "link_id"))), lambda s: s.link_id).alias("l"),
+    )
+    links = F.expr("filter(l, (x, i) -> i = 0 OR l[i - 1] <> x)")
+    empty = paths.where("size(arcs) = 0").select(*keys, F.lit(0).cast("long").alias("distance_mm"), F.lit(0).cast("long").alias("time_ms"), F.array().cast("array<bigint>").alias("links"))
+    return by.select(*keys, "distance_mm", "time_ms", links.alias("links")).unionByName(empty)
+
+
+def ports(links: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entry and exit arcs of each closure group: arcs of other groups that end, or start, at one of
+    its nodes. (g, arc_id, link_id, node, outside)"""
     g = F.col("closure_group_id")
-    edges = scan_edges(arcs).join(arcs.select(F.col("arc_id").alias("id"), "closure_group_id"), "id")
-    # groups by number, so that what is broadcast is narrow
-    numbers = links.select(g).distinct().withColumn("group", F.xxhash64(g))
-    edges = edges.join(numbers, "closure_group_id").select("source", "target", "cost", "group", "closure_group_id")
-    inside = links.select(g, F.explode(F.array("source", "target")).alias("node")).distinct()
-    outer = edges.select(F.col("closure_group_id").alias("own"), "source", "target")
-    entries = inside.join(outer.select("own", F.col("target").alias("node")), "node").where(g != F.col("own")).select(g, F.col("node").alias("entry")).distinct()
-    exits = inside.join(outer.select("own", F.col("source").alias("node")), "node").where(g != F.col("own")).select(g, F.col("node").alias("exit")).distinct()
-    pairs = entries.join(exits, "closure_group_id").where("entry <> exit").join(numbers, "closure_group_id")
-    ask = pairs.select("closure_group_id", F.col("entry").alias("source"), F.col("exit").alias("target"), F.explode(F.array(F.lit(None).cast("long"), F.col("group"))).alias("banned"))
-    got = route_costs(ask, edges, "group")
+    inside = links.select(g.alias("g"), F.explode(F.array("source", "target")).alias("node")).distinct()
+
+    def side(here: str, there: str) -> DataFrame:
+        a = arcs.select("arc_id", "link_id", g.alias("own"), F.col(here).alias("node"), F.col(there).alias("outside"))
+        return inside.join(a, "node").where("own <> g").drop("own")
+
+    return side("target", "source"), side("source", "target")
+
+
+#: Ports of each side that are paired, so a closure never makes more than four hundred pairs.
+MAX_PORTS = 20
+
+
+def port_pairs(links: DataFrame, arcs: DataFrame, most: int = MAX_PORTS) -> tuple[DataFrame, DataFrame]:
+    """The pairs of entry and exit ports of each piece of each closure group, the first ``most`` of
+    each side by arc id, and what that bound left out: entries, exits, omitted_entries,
+    omitted_exits, omitted_pairs, truncated. Ports on separate pieces of a closure make no pair."""
+    from pyspark.sql import Window
+
+    from .connectivity import group_pieces
+
+    pieces = group_pieces(links)
+    sides = []
+    for df, name in zip(ports(links, arcs), ("entry", "exit"), strict=True):
+        w = Window.partitionBy("g", "piece").orderBy("arc_id")
+        ranked = df.join(pieces, ["g", "node"]).withColumn("r", F.row_number().over(w))
+        sides.append(ranked.select("g", "piece", "r", *(F.col(c).alias(f"{name}_{c}") for c in ("arc_id", "link_id", "node", "outside"))))
+    pairs = sides[0].where(F.col("r") <= most).drop("r").join(sides[1].where(F.col("r") <= most).drop("r"), ["g", "piece"])
+    count = [s.groupBy("g").agg(F.count("*").alias(n), F.count_if(F.col("r") <= most).alias(f"kept_{n}")) for s, n in zip(sides, ("entries", "exits"), strict=True)]
+    made = pairs.groupBy("g").agg(F.count("*").alias("pairs"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    whole = count[0].join(count[1], "g", "full").join(made, "g", "left").select("g", *(n(c).alias(c) for c in ("entries", "exits", "kept_entries", "kept_exits", "pairs")))
+    left_out = whole.select(
+        "g", "entries", "exits", "pairs", (F.col("entries") - F.col("kept_entries")).alias("omitted_entries"), (F.col("exits") - F.col("kept_exits")).alias("omitted_exits"), (F.col("entries") * F.col("exits") - F.col("pairs")).alias("omitted_pairs")
+    )
+    return pairs, left_out.withColumn("truncated", F.col("omitted_entries") + F.col("omitted_exits") > 0)
+
+
+def movements(links: DataFrame, arcs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Every pair of ports of every closure group with the reason why it is, or is not, a through
+    movement that the closure interrupts, and with its intact and replacement cost.
+
+    A pair is one if the cheapest intact way between the two closure nodes uses the closure, that is
+    if every way without it is dearer: ways that cost the same make the closure unnecessary."""
+    edges = scan_edges(arcs).withColumnRenamed("id", "arc_id").join(arcs.select("arc_id", "link_id", group_number("closure_group_id").alias("ban")), "arc_id").withColumnRenamed("arc_id", "id")
+    car = arcs.where("mode_car")
+    pairs, _ = port_pairs(links, car)
+    ask = pairs.where("entry_node <> exit_node").select("g", F.col("entry_node").alias("source"), F.col("exit_node").alias("target")).distinct()
+    ask = ask.withColumn("banned", F.explode(F.array(F.lit(None).cast("long"), group_number("g"))))
+    got = route(ask, edges, "ban", None, budget)
     closed = F.col("banned").isNotNull()
-    by = got.groupBy("closure_group_id", F.col("source").alias("entry"), F.col("target").alias("exit")).agg(F.max(F.when(~closed, F.col("cost"))).alias("intact"), F.max(F.when(closed, F.col("cost"))).alias("replacement"))
-    kind = (
-        F.when(F.col("intact").isNull(), "NOT_CONNECTED")
-        .when(F.col("replacement").isNull(), "DISCONNECTED")
-        .when(F.col("replacement") == F.col("intact"), "CLOSURE_NOT_NECESSARY")
-        .otherwise("REPLACED")
+    pick = lambda c, on: F.max(F.when(on, F.col(c)))
+    by = got.groupBy("g", F.col("source").alias("entry_node"), F.col("target").alias("exit_node")).agg(
+        pick("cost", ~closed).alias("intact"),
+        pick("cost", closed).alias("replacement"),
+        F.bool_or(F.col("status") == TIMEOUT).alias("unresolved"),
+        F.max(F.when(~closed, F.element_at("arcs", 1))).alias("first"),
+        F.max(F.when(~closed, F.element_at("arcs", -1))).alias("last"),
+        F.max(F.when(closed, F.col("links"))).alias("replacement_links"),
     )
-    return by.select("closure_group_id", "entry", "exit", "intact", "replacement", (F.col("replacement") - F.col("intact")).alias("penalty"), kind.alias("outcome"))
+    ends = arcs.select(F.col("arc_id"), F.col("link_id"), F.col("source"), F.col("target"))
+    first = ends.select(F.col("arc_id").alias("first"), F.col("link_id").alias("first_link"), F.col("target").alias("first_to"))
+    last = ends.select(F.col("arc_id").alias("last"), F.col("link_id").alias("last_link"), F.col("source").alias("last_from"))
+    by = by.join(first, "first", "left").join(last, "last", "left")
+    m = pairs.join(by, ["g", "entry_node", "exit_node"], "left")
+    back = (F.col("first_link") == F.col("entry_link_id")) & (F.col("first_to") == F.col("entry_outside"))
+    forth = (F.col("last_link") == F.col("exit_link_id")) & (F.col("last_from") == F.col("exit_outside"))
+    reason = (
+        F.when((F.col("entry_link_id") == F.col("exit_link_id")) & (F.col("entry_node") == F.col("exit_node")), "U_TURN_AT_BOUNDARY")
+        .when(F.col("entry_node") == F.col("exit_node"), "DOES_NOT_TRAVERSE_CLOSURE")
+        .when(F.col("unresolved"), "SEARCH_UNRESOLVED")
+        .when(F.col("intact").isNull(), "NO_INTACT_ROUTE")
+        .when(F.coalesce(back | forth, F.lit(False)), "U_TURN_IN_ROUTE")
+        .when(F.coalesce(F.col("replacement") == F.col("intact"), F.lit(False)), "DOES_NOT_TRAVERSE_CLOSURE")
+        .otherwise("THROUGH_MOVEMENT")
+    )
+    return m.select(F.col("g").alias("closure_group_id"), F.col("entry_arc_id").alias("entry_arc"), F.col("exit_arc_id").alias("exit_arc"), "entry_node", "exit_node", "intact", "replacement", "replacement_links", reason.alias("reason"))
+
+
+def replacements(moves: DataFrame, restrictions: DataFrame) -> DataFrame:
+    """The replacement of each through movement: penalty, ratio and status. A way that makes a
+    banned turn is no detour to offer, and no finding that there is none either."""
+    through = moves.where("reason = 'THROUGH_MOVEMENT'")
+    steps = through.where("replacement_links is not null").select("closure_group_id", "entry_node", "exit_node", "replacement_links").distinct()
+    turns = steps.select("closure_group_id", "entry_node", "exit_node", F.explode(F.expr("if(size(replacement_links) < 2, array(), transform(sequence(0, size(replacement_links) - 2), i -> struct(replacement_links[i] AS from_link, replacement_links[i + 1] AS to_link)))").cast("array<struct<from_link:bigint,to_link:bigint>>")).alias("t"))
+    bad = turns.select("closure_group_id", "entry_node", "exit_node", "t.from_link", "t.to_link").join(restrictions, ["from_link", "to_link"], "left_semi").select("closure_group_id", "entry_node", "exit_node").distinct().withColumn("banned", F.lit(True))
+    r = through.join(bad, ["closure_group_id", "entry_node", "exit_node"], "left")
+    status = F.when(F.col("replacement").isNull(), DISCONNECTED).when(F.col("banned"), TURN).otherwise(OK)
+    return r.select("closure_group_id", "entry_arc", "exit_arc", "intact", "replacement", (F.col("replacement") - F.col("intact")).alias("penalty"), F.round(F.col("replacement") / F.col("intact"), 3).alias("ratio"), status.alias("status"))

@@ -77,27 +77,7 @@ def filter_canonical_candidate(net: Network) -> DataFrame:
     return crossings(net).where("disposition <> 'AT_GRADE' AND reason <> 'BOTH_HIGHWAY'").select("a", "b", "node")
 
 
-# --- joins that keep their bounds --------------------------------------------------------------
-_PORTS = """, cn AS (SELECT closure_group_id AS g, source AS node FROM links UNION SELECT closure_group_id, target FROM links),
-en AS (SELECT cn.g, a.arc_id, row_number() OVER (PARTITION BY cn.g ORDER BY a.arc_id) AS r FROM cn JOIN arcs a ON a.target = cn.node AND a.closure_group_id <> cn.g),
-ex AS (SELECT cn.g, a.arc_id, row_number() OVER (PARTITION BY cn.g ORDER BY a.arc_id) AS r FROM cn JOIN arcs a ON a.source = cn.node AND a.closure_group_id <> cn.g)"""
-
-
-@query(_PORTS + "\nSELECT en.g AS closure_group_id, en.arc_id AS entry_arc, ex.arc_id AS exit_arc FROM en JOIN ex USING (g) WHERE en.r <= 20 AND ex.r <= 20")
-def join_cartesian_ports(net: Network) -> DataFrame:
-    """Entry by exit arcs of each closure, the first twenty of each side: the bound comes before
-    the pairing, so a closure never makes more than four hundred pairs."""
-    g = F.col("closure_group_id")
-    cn = net.links.select(g.alias("g"), F.explode(F.array("source", "target")).alias("node")).distinct()
-
-    def side(end: str, name: str) -> DataFrame:
-        a = net.arcs.select("arc_id", g.alias("own"), F.col(end).alias("node"))
-        w = Window.partitionBy("g").orderBy("arc_id")
-        return cn.join(a, "node").where("own <> g").withColumn("r", F.row_number().over(w)).where("r <= 20").select("g", F.col("arc_id").alias(name))
-
-    return side("target", "entry_arc").join(side("source", "exit_arc"), "g").select(F.col("g").alias("closure_group_id"), "entry_arc", "exit_arc")
-
-
+# --- joins -------------------------------------------------------------------------------------
 @query("SELECT link_id, i AS place, CASE i WHEN 1 THEN source ELSE target END AS node, CASE i WHEN 1 THEN 0.0 ELSE 1.0 END :: DOUBLE AS fraction FROM links, (VALUES (1), (2)) AS v(i)")
 def join_unnest(net: Network) -> DataFrame:
     """Parallel arrays as rows."""
@@ -193,8 +173,10 @@ def s_shadow(net: Network) -> DataFrame:
     return net.links.select("link_id", F.array_join(flags, ",").alias("kinds"))
 
 
-@query("""SELECT a.closure_group_id, a.arc_id, v.scope FROM arcs a, (VALUES ('physical'), ('directed')) AS v(scope) WHERE v.scope = 'physical' OR a.arc_id % 2 = 0""")
+@query("""SELECT l.link_id, d.k AS direction, v.scope, a.arc_id FROM links l, (VALUES (0), (1)) AS d(k), (VALUES ('physical'), ('directed')) AS v(scope) JOIN arcs a ON (v.scope = 'physical' AND a.closure_group_id = l.closure_group_id) OR (v.scope = 'directed' AND a.arc_id = l.link_id * 2 + d.k) WHERE d.k = 0 OR NOT l.oneway""")
 def v1_scope(net: Network) -> DataFrame:
-    """Arcs that a closure removes: all of the link, or one direction."""
-    a = net.arcs.select("closure_group_id", "arc_id", F.explode(F.array(F.lit("physical"), F.lit("directed"))).alias("scope"))
-    return a.where("scope = 'physical' OR arc_id % 2 = 0")
+    """Arcs that closing each direction of each link removes: those of the whole physical road, or
+    the one traversal."""
+    own = net.arcs.select("link_id", (F.col("arc_id") % 2).cast("int").alias("direction"), "closure_group_id", F.col("arc_id").alias("own"))
+    road = own.join(net.arcs.select("closure_group_id", "arc_id"), "closure_group_id").select("link_id", "direction", F.lit("physical").alias("scope"), "arc_id")
+    return road.unionByName(own.select("link_id", "direction", F.lit("directed").alias("scope"), F.col("own").alias("arc_id")))

@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import connectivity as C
 from ..operators import routing as R
 from ..sources.lattice import Network
 from .catalogue import query
-
-_DETOUR_SQL = """, edges AS (SELECT arc_id, link_id, source, target, cost_mm AS cost FROM arcs WHERE mode_car),
-d(arc_id, closed, node, cost) USING KEY (arc_id, closed, node) AS (
-  SELECT arc_id, closed, source, CAST(0 AS BIGINT) FROM edges, (VALUES (true), (false)) AS v(closed)
+from .scratch import materialise
+
+#: Arcs for cars, the turns between them that are not banned, and the cheapest legal way of each
+#: request: a row for each last arc, and one (upto = -1) for the target, which bounds the search.
+LEGAL = """, e AS (SELECT arc_id, link_id, source, target, cost_mm AS cost, closure_group_id AS g FROM arcs WHERE mode_car),
+turns AS (
+  SELECT a.arc_id AS f, b.arc_id AS t, b.target AS node, b.cost, b.g FROM e a JOIN e b ON b.source = a.target AND b.link_id <> a.link_id
+  WHERE NOT EXISTS (SELECT 1 FROM restrictions x WHERE x.from_link = a.link_id AND x.to_link = b.link_id)
+), req AS (%s),
+d(req, closed, upto, cost) USING KEY (req, closed, upto) AS (
+  SELECT r.req, r.closed, z.upto, min(x.cost) FROM req r JOIN e x ON x.source = r.source AND (NOT r.closed OR x.g <> r.g),
+    LATERAL (SELECT unnest([x.arc_id, CASE WHEN x.target = r.target THEN -1 END]) AS upto) z WHERE z.upto IS NOT NULL GROUP BY ALL
   UNION
-  SELECT n.arc_id, n.closed, n.node, n.cost FROM (
-    SELECT d.arc_id, d.closed, e.target AS node, min(d.cost + e.cost) AS cost
-    FROM d JOIN edges own ON own.arc_id = d.arc_id JOIN edges e ON e.source = d.node AND (NOT d.closed OR e.link_id <> own.link_id)
-    WHERE d.closed OR d.cost + e.cost <= own.cost
-    GROUP BY d.arc_id, d.closed, e.target
-  ) n LEFT JOIN recurring.d r ON r.arc_id = n.arc_id AND r.closed = n.closed AND r.node = n.node
-  WHERE r.cost IS NULL OR n.cost < r.cost
-)
+  SELECT n.req, n.closed, n.upto, n.cost FROM (
+    SELECT d.req, d.closed, z.upto, min(d.cost + u.cost) AS cost
+    FROM d JOIN req r ON r.req = d.req AND r.closed = d.closed JOIN turns u ON u.f = d.upto AND (NOT d.closed OR u.g <> r.g),
+      LATERAL (SELECT unnest([u.t, CASE WHEN u.node = r.target THEN -1 END]) AS upto) z WHERE z.upto IS NOT NULL GROUP BY d.req, d.closed, z.upto
+  ) n LEFT JOIN recurring.d k ON k.req = n.req AND k.closed = n.closed AND k.upto = n.upto
+      LEFT JOIN recurring.d b ON b.req = n.req AND b.closed = n.closed AND b.upto = -1
+  WHERE (k.cost IS NULL OR n.cost < k.cost) AND (b.cost IS NULL OR n.cost < b.cost)
+), best AS (SELECT req, closed, cost FROM d WHERE upto = -1)"""
+
+_DETOURS = LEGAL % "SELECT arc_id AS req, closed, source, target, g FROM e, (VALUES (true), (false)) AS v(closed)" + """, detours AS (
 SELECT o.link_id, CAST(o.arc_id % 2 AS INTEGER) AS direction, o.cost AS length, i.cost AS normal, a.cost AS alternative,
        a.cost - o.cost AS added, a.cost - i.cost AS penalty, round(a.cost / o.cost, 3) AS ratio,
        CASE WHEN a.cost IS NULL THEN 'DISCONNECTED' ELSE 'OK' END AS status
-FROM edges o LEFT JOIN d i ON i.arc_id = o.arc_id AND NOT i.closed AND i.node = o.target
-LEFT JOIN d a ON a.arc_id = o.arc_id AND a.closed AND a.node = o.target"""
+FROM e o LEFT JOIN best i ON i.req = o.arc_id AND NOT i.closed LEFT JOIN best a ON a.req = o.arc_id AND a.closed)"""
 
 
-@query(_DETOUR_SQL)
+@query(_DETOURS + "\nSELECT * FROM detours")
 def v1_detour(net: Network) -> DataFrame:
-    return R.detours(net.links, net.arcs)
+    """Closing the physical road of each link: all links of its closure group, with banned turns."""
+    return R.detours(net.links, net.arcs, restrictions=net.restrictions, scope="physical").drop("turn_aware")
 
 
 @query("SELECT arc_id AS id, source, target, cost_ms AS cost, CAST(-1 AS BIGINT) AS reverse_cost FROM arcs WHERE mode_heavy AND cost_ms IS NOT NULL AND link_id NOT IN (SELECT link_id FROM links WHERE rca_code = 1)")
@@ -72,8 +82,13 @@ def join_arc_transitions(net: Network) -> DataFrame:
     and offset by what the partitions before hold."""
     t = transitions(net)
     n = t.sparkSession.sparkContext.defaultParallelism
-    numbered = t.repartitionByRange(n, "from_arc", "to_arc").sortWithinPartitions("from_arc", "to_arc").rdd.zipWithIndex()
-    return numbered.map(lambda x: (x[1], *x[0])).toDF("transition_id long, from_arc long, to_arc long, via_node long")
+    ranged = materialise(t.repartitionByRange(n, "from_arc", "to_arc").withColumn("part", F.spark_partition_id()), "transitions")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("from_arc", "to_arc"))
+    # one row for each partition
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = ranged.withColumn("r", within).join(F.broadcast(before), "part")
+    return numbered.select((F.col("before") + F.col("r") - 1).alias("transition_id"), "from_arc", "to_arc", "via_node")
 
 
 @query(_TRANSITIONS + "\nSELECT from_arc, to_arc, t.cost_mm AS cost FROM tr JOIN arcs t ON t.arc_id = to_arc JOIN arcs f ON f.arc_id = from_arc WHERE t.mode_car AND f.mode_car")
@@ -124,8 +139,6 @@ def g_principal_component(net: Network) -> DataFrame:
 @query(_ROLLUP + """
 SELECT component, nodes, row_number() OVER (ORDER BY nodes DESC, component) AS place, round(nodes / (SELECT sum(nodes) FROM rollup_), 6) AS share FROM rollup_""")
 def agg_component_sizes(net: Network) -> DataFrame:
-    from pyspark.sql import Window
-
     r = C.component_rollup(C.components(net.nodes, net.links), net.links).select("component", "nodes")
     whole = net.nodes.count()
     # one row for each component, not for each node
@@ -141,24 +154,60 @@ def g_same_component(net: Network) -> DataFrame:
     return a.join(s, "source").join(t, "to").select("arc_id", (F.col("cs") == F.col("ct")).alias("same_component"))
 
 
-@query()
+_SIDES = _CC + """, e2 AS (SELECT link_id, source AS a, target AS b FROM links WHERE source <> target UNION ALL SELECT link_id, target, source FROM links WHERE source <> target),
+cut(link_id, node) USING KEY (link_id, node) AS (
+  SELECT link_id, source FROM links WHERE source <> target
+  UNION
+  SELECT DISTINCT c.link_id, e2.b FROM cut c JOIN e2 ON e2.a = c.node AND e2.link_id <> c.link_id JOIN links o ON o.link_id = c.link_id
+    LEFT JOIN recurring.cut k ON k.link_id = c.link_id AND k.node = e2.b LEFT JOIN recurring.cut t ON t.link_id = c.link_id AND t.node = o.target
+  WHERE k.node IS NULL AND t.node IS NULL
+), bridge AS (
+  SELECT o.link_id, o.source, (SELECT count(*) FROM cut c WHERE c.link_id = o.link_id) AS side FROM links o
+  WHERE o.source <> o.target AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.link_id = o.link_id AND c.node = o.target)
+), sizes AS (SELECT c, count(*) AS n FROM cc GROUP BY c)"""
+
+
+@query(_SIDES + "\nSELECT link_id, least(side, n - side) AS smaller_side, n AS component_nodes FROM bridge JOIN cc ON cc.node = bridge.source JOIN sizes USING (c)")
 def g_tarjan(net: Network) -> DataFrame:
-    """Bridges; compared with removal of every link in the tests."""
+    """Bridges. The SQL walks from one end of each link without it."""
     return C.bridges(C.components(net.nodes, net.links), net.links)
 
 
+@query(""", e2 AS (SELECT source AS a, target AS b FROM links WHERE source <> target UNION SELECT target, source FROM links WHERE source <> target),
+seen(cut, node) USING KEY (cut, node) AS (
+  SELECT a, min(b) FROM e2 GROUP BY a
+  UNION
+  SELECT DISTINCT s.cut, e2.b FROM seen s JOIN e2 ON e2.a = s.node AND e2.b <> s.cut LEFT JOIN recurring.seen k ON k.cut = s.cut AND k.node = e2.b WHERE k.node IS NULL
+)
+SELECT DISTINCT e2.a AS node_id FROM e2 LEFT JOIN seen ON seen.cut = e2.a AND seen.node = e2.b WHERE seen.node IS NULL""")
+def g_articulation(net: Network) -> DataFrame:
+    """Nodes whose removal parts their component."""
+    return C.depth_first(C.components(net.nodes, net.links), net.links).where("articulation").select(F.col("id").alias("node_id"))
+
+
 @query(""", ends AS (SELECT source AS node_id, link_id FROM links UNION ALL SELECT target, link_id FROM links)
 SELECT node_id, count(DISTINCT link_id) AS degree FROM ends GROUP BY node_id""")
 def k_degree(net: Network) -> DataFrame:
     return C.degrees(net.links)
 
 
-@query(""", ends AS (SELECT closure_group_id AS g, source AS node FROM links UNION ALL SELECT closure_group_id, target FROM links),
+_PIECES = """, gn AS (SELECT closure_group_id AS g, source AS node FROM links UNION SELECT closure_group_id, target FROM links),
+ge AS (SELECT closure_group_id AS g, source AS a, target AS b FROM links UNION SELECT closure_group_id, target, source FROM links),
+piece(g, node, p) USING KEY (g, node) AS (
+  SELECT g, node, node FROM gn
+  UNION
+  SELECT n.g, n.node, n.p FROM (SELECT ge.g, ge.b AS node, min(piece.p) AS p FROM piece JOIN ge ON ge.g = piece.g AND ge.a = piece.node GROUP BY ge.g, ge.b) n
+  JOIN recurring.piece r ON r.g = n.g AND r.node = n.node WHERE n.p < r.p
+)"""
+
+
+@query(_PIECES + """, ends AS (SELECT closure_group_id AS g, source AS node FROM links UNION ALL SELECT closure_group_id, target FROM links),
 inner_ AS (SELECT g, node, count(*) AS d FROM ends GROUP BY g, node),
 by_ AS (SELECT g, count(*) AS nodes, max(d) AS most, count(*) FILTER (d = 1) AS tips FROM inner_ GROUP BY g),
+ps AS (SELECT g, count(DISTINCT p) AS pieces FROM piece GROUP BY g),
 n AS (SELECT closure_group_id AS g, count(*) AS links, CAST(sum(length_mm) AS BIGINT) AS length_mm FROM links GROUP BY 1)
-SELECT g AS closure_group_id, links, nodes, length_mm, CASE WHEN links = 1 THEN 'single_segment' WHEN most > 2 THEN 'branching' WHEN tips = 0 THEN 'cycle' WHEN tips = 2 THEN 'simple_chain' ELSE 'disjoint' END AS shape
-FROM n JOIN by_ USING (g)""")
+SELECT g AS closure_group_id, links, nodes, pieces, length_mm, CASE WHEN links = 1 THEN 'single_segment' WHEN pieces > 1 THEN 'disjoint' WHEN most > 2 THEN 'branching' WHEN tips = 0 THEN 'cycle' ELSE 'simple_chain' END AS shape
+FROM n JOIN by_ USING (g) JOIN ps USING (g)""")
 def c_shape(net: Network) -> DataFrame:
     return C.closure_shapes(net.links)
 
@@ -219,38 +268,3 @@ def sp_expanded(net: Network) -> DataFrame:
     first = car.join(depots(net), "source").groupBy("source").agg(F.min(F.struct("arc_id", "cost_mm")).alias("m")).select(F.col("m.arc_id").alias("arc"), F.col("m.cost_mm").alias("c"))
     tree = R.tree_costs(first.select(F.col("arc").alias("source")), t.select(F.col("from_arc").alias("source"), F.col("to_arc").alias("target"), "cost"))
     return tree.join(first, F.col("source") == F.col("arc")).select(F.col("source").alias("first_arc"), F.col("node").alias("last_arc"), (F.col("cost") + F.col("c")).alias("cost"))
-
-
-_MOVES = """, e AS (SELECT arc_id, source, target, cost_mm AS cost, closure_group_id AS g FROM arcs WHERE mode_car),
-inside AS (SELECT closure_group_id AS g, source AS node FROM links UNION SELECT closure_group_id, target FROM links),
-entries AS (SELECT DISTINCT i.g, i.node FROM inside i JOIN e ON e.target = i.node AND e.g <> i.g),
-exits AS (SELECT DISTINCT i.g, i.node FROM inside i JOIN e ON e.source = i.node AND e.g <> i.g),
-d(g, entry, closed, node, cost) USING KEY (g, entry, closed, node) AS (
-  SELECT g, node, closed, node, CAST(0 AS BIGINT) FROM entries, (VALUES (true), (false)) AS v(closed)
-  UNION
-  SELECT n.g, n.entry, n.closed, n.node, n.cost FROM (
-    SELECT d.g, d.entry, d.closed, e.target AS node, min(d.cost + e.cost) AS cost FROM d JOIN e ON e.source = d.node AND (NOT d.closed OR e.g <> d.g) GROUP BY d.g, d.entry, d.closed, e.target
-  ) n LEFT JOIN recurring.d r ON r.g = n.g AND r.entry = n.entry AND r.closed = n.closed AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost
-)
-SELECT en.g AS closure_group_id, en.node AS entry, ex.node AS exit, i.cost AS intact, c.cost AS replacement, c.cost - i.cost AS penalty,
-       CASE WHEN i.cost IS NULL THEN 'NOT_CONNECTED' WHEN c.cost IS NULL THEN 'DISCONNECTED' WHEN c.cost = i.cost THEN 'CLOSURE_NOT_NECESSARY' ELSE 'REPLACED' END AS outcome
-FROM entries en JOIN exits ex ON ex.g = en.g AND ex.node <> en.node
-LEFT JOIN d i ON i.g = en.g AND i.entry = en.node AND NOT i.closed AND i.node = ex.node
-LEFT JOIN d c ON c.g = en.g AND c.entry = en.node AND c.closed AND c.node = ex.node"""
-
-
-@query(_MOVES, slow=True)
-def m_movements(net: Network) -> DataFrame:
-    """Through movements of every closure group with their replacement paths."""
-    return R.movements(net.links, net.arcs)
-
-
-@query(_MOVES.replace("SELECT en.g AS closure_group_id, en.node AS entry", ", m AS (SELECT en.g AS closure_group_id, en.node AS entry", 1) + """)
-SELECT closure_group_id, count(*) AS pairs, count(*) FILTER (outcome = 'DISCONNECTED') AS cut_off, CAST(max(penalty) AS BIGINT) AS worst_penalty,
-       CASE WHEN bool_or(outcome = 'DISCONNECTED') THEN 'SOME_MOVEMENTS_CUT' WHEN bool_or(outcome = 'REPLACED') THEN 'ALL_MOVEMENTS_REPLACED' ELSE 'NO_MOVEMENT_AFFECTED' END AS headline FROM m GROUP BY closure_group_id""", slow=True)
-def i_impact(net: Network) -> DataFrame:
-    """One headline for each closure: what it does to the movements through it."""
-    m = R.movements(net.links, net.arcs)
-    cut, replaced = F.col("outcome") == "DISCONNECTED", F.col("outcome") == "REPLACED"
-    headline = F.when(F.bool_or(cut), "SOME_MOVEMENTS_CUT").when(F.bool_or(replaced), "ALL_MOVEMENTS_REPLACED").otherwise("NO_MOVEMENT_AFFECTED")
-    return m.groupBy("closure_group_id").agg(F.count("*").alias("pairs"), F.count_if(cut).alias("cut_off"), F.max("penalty").alias("worst_penalty"), headline.alias("headline"))

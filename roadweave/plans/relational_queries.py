@@ -297,25 +297,11 @@ def sort_ports(net: Network) -> DataFrame:
     return net.links.select("link_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("""SELECT o_custkey, o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, -floor(o_totalprice * 100 + 0.5), o_orderkey) AS BIGINT) AS place FROM orders""")
-def sort_principal(net: Network) -> DataFrame:
-    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    w = Window.partitionBy("o_custkey").orderBy(rank, -F.floor(F.col("o_totalprice") * 100 + 0.5), "o_orderkey")
-    return net.table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("SELECT node_id, in_degree * out_degree AS movements FROM (" + _DEGREE + ") ORDER BY movements DESC, node_id LIMIT 5")
 def topk_degree(net: Network) -> DataFrame:
     return _in_out(net).select("node_id", (F.col("in_degree") * F.col("out_degree")).alias("movements")).orderBy(F.desc("movements"), "node_id").limit(5)
 
 
-@query("SELECT closure_group_id, count(*) AS found, least(count(*), 3) AS kept, greatest(count(*) - 3, 0) AS dropped FROM links GROUP BY closure_group_id")
-def limit_truncated(net: Network) -> DataFrame:
-    """A bound always says what it left out."""
-    n = net.links.groupBy("closure_group_id").agg(F.count("*").alias("found"))
-    return n.select("closure_group_id", "found", F.least("found", F.lit(3)).cast("long").alias("kept"), F.greatest(F.col("found") - 3, F.lit(0)).cast("long").alias("dropped"))
-
-
 @query("""SELECT a.link_id FROM links a LEFT JOIN restrictions r ON r.from_link = a.link_id WHERE r.from_link IS NULL AND a.rca_code = 1""")
 def resume_checkpoint(net: Network) -> DataFrame:
     """What is left to do: keys asked for without those recorded."""

@@ -48,7 +48,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
-def _stars(e: DataFrame, rounds: int) -> DataFrame:
+def _stars(e: DataFrame, rounds: int, tag: str) -> DataFrame:
     """Alternating large-star and small-star rounds: each is a hash aggregation with a map-side
     minimum and an equi-join; no neighbour list is ever gathered."""
     last = _state(e)
@@ -60,7 +60,7 @@ def _stars(e: DataFrame, rounds: int) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(large_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(large_min.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        e = materialise(small.unionByName(large_min.select("u", F.col("m").alias("v"))).distinct(), tag)
         now = _state(e)
         if now == last:
             break
@@ -71,14 +71,14 @@ def _stars(e: DataFrame, rounds: int) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def label_edges(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) -> DataFrame:
+def label_edges(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60, tag: str = "labels") -> DataFrame:
     """``edges(u, v)`` -> (node, component), component being the smallest node reachable. Only nodes
     with an edge to another node are returned."""
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if e.count() <= one_task:
+    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    if one_task and e.count() <= one_task:
         kind = e.schema["u"].dataType.simpleString()
-        return materialise(e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}"), "labels")
-    return _stars(e, rounds)
+        return materialise(e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}"), tag)
+    return _stars(e, rounds, tag)
 
 
 def components(nodes: DataFrame, links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:

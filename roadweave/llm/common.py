@@ -1,12 +1,8 @@
-"""Shared helpers: reading tables, the shared scratch folder, cut lineage, Arrow mapping."""
+"""Shared helpers: reading tables, the scratch folder of the engine, samples, Arrow mapping."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,39 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LOCAL: dict[str, str] = {}
+from ..plans.scratch import materialise  # noqa: F401  for the operators here
+from ..plans.scratch import scratch_path as scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where
-    that is unset, a local master (tests) gets a temporary folder, a cluster the warehouse."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="roadweave-")
-            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-        return "file://" + _LOCAL[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives any executor."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows handed to Python at a time, so that few texts are held as Python strings, and bytes where
 #: the texts stay in Arrow.
 ROWS, TEXT_BYTES = 1024, 8 << 20

@@ -1,41 +1,14 @@
-"""Connected components by alternating large-star and small-star rounds.
-
-Every round is a hash aggregation (with map-side minimum) and an equi-join whose skewed keys
-adaptive execution may split; no neighbour list is ever gathered, and the rounds are cut with
-tables in the shared folder."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialise
-
 
-def _state(edges: DataFrame) -> tuple:
-    # xor of the hashes: no overflow, independent of the order of rows
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+from ..operators.connectivity import label_edges
 
 
-def components(edges: DataFrame, tag: str = "components", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """``edges(u, v)`` of any orderable type -> ``(node, component)``, component being the smallest
-    node reachable. Only nodes with an edge to another node are returned."""
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
-    last = _state(e)
-    for _ in range(limit):
-        if not last[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(large_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(large_min.select("u", F.col("m").alias("v"))).distinct(), tag)
-        now = _state(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components: no fixed point after {limit} rounds")
-    # at the fixed point every edge leads to the smallest node of its component
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    node reachable. Only nodes with an edge to another node are returned. Always by rounds over
+    tables: links of documents are never gathered into one task."""
+    return label_edges(edges, one_task=0, tag=tag)

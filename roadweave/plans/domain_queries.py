@@ -8,75 +8,6 @@ from pyspark.sql import functions as F
 from ..sources.lattice import Network
 from .catalogue import query
 
-# --- crossings ---------------------------------------------------------------------------------
-# Lattice lines a row and a column apart cross where neither ends: each node that a row link and a
-# column link pass by stands for one crossing, with deterministic context.
-_CROSS = """, x AS (
-  SELECT a.link_id AS a, b.link_id AS b, a.source AS node, (a.link_id + b.link_id) // 5 AS k, a.rca_code AS ra, b.rca_code AS rb
-  FROM links a JOIN links b ON a.source = b.source AND a.target = a.source + 1 AND b.target > b.source + 1
-), c AS (
-  SELECT a, b, node, CASE WHEN k % 11 = 0 THEN 'AT_GRADE' WHEN ra = 1 AND rb = 1 THEN 'GRADE_SEPARATED' WHEN k % 7 < 2 THEN 'GRADE_SEPARATED' WHEN k % 5 = 0 THEN 'AT_GRADE' ELSE 'UNRESOLVED' END AS disposition,
-         CASE WHEN k % 11 = 0 THEN 'WITNESS' WHEN ra = 1 AND rb = 1 THEN 'BOTH_HIGHWAY' WHEN k % 7 < 2 THEN 'STRUCTURE' WHEN k % 5 = 0 THEN 'LOCAL_ROADS' ELSE 'NO_EVIDENCE' END AS reason, node // 4 AS place FROM x
-)"""
-
-
-def crossings(net: Network) -> DataFrame:
-    """Each crossing with the first rule that settles it, in order."""
-    w = net.width
-    a = net.links.where("target = source + 1").select(F.col("link_id").alias("a"), F.col("source").alias("node"), F.col("rca_code").alias("ra"))
-    b = net.links.where(F.col("target") == F.col("source") + w).select(F.col("link_id").alias("b"), F.col("source").alias("node"), F.col("rca_code").alias("rb"))
-    k = F.floor((F.col("a") + F.col("b")) / 5)
-    rules = [(k % 11 == 0, "AT_GRADE", "WITNESS"), ((F.col("ra") == 1) & (F.col("rb") == 1), "GRADE_SEPARATED", "BOTH_HIGHWAY"), (k % 7 < 2, "GRADE_SEPARATED", "STRUCTURE"), (k % 5 == 0, "AT_GRADE", "LOCAL_ROADS")]
-    chain = F.when(rules[0][0], F.struct(F.lit(rules[0][1]).alias("d"), F.lit(rules[0][2]).alias("r")))
-    for on, d, r in rules[1:]:
-        chain = chain.when(on, F.struct(F.lit(d).alias("d"), F.lit(r).alias("r")))
-    chain = chain.otherwise(F.struct(F.lit("UNRESOLVED").alias("d"), F.lit("NO_EVIDENCE").alias("r")))
-    return a.join(b, "node").withColumn("s", chain).select("a", "b", "node", F.col("s.d").alias("disposition"), F.col("s.r").alias("reason"), F.floor(F.col("node") / 4).alias("place"))
-
-
-@query(_CROSS + "\nSELECT a, b, disposition, reason FROM c")
-def topo_classify_crossing(net: Network) -> DataFrame:
-    return crossings(net).select("a", "b", "disposition", "reason")
-
-
-_DEMOTED = _CROSS + """, m AS (SELECT place, count(DISTINCT disposition) AS kinds FROM c GROUP BY place)"""
-
-
-@query(_DEMOTED + "\nSELECT a, b, CASE WHEN kinds > 1 THEN 'UNRESOLVED' ELSE disposition END AS disposition, CASE WHEN kinds > 1 THEN 'MIXED_PLACE' ELSE reason END AS reason FROM c JOIN m USING (place)")
-def topo_demote_mixed(net: Network) -> DataFrame:
-    """A place whose crossings disagree settles none of them."""
-    c = crossings(net)
-    kinds = c.groupBy("place").agg((F.countDistinct("disposition") > 1).alias("mixed"))
-    c = c.join(kinds, "place")
-    return c.select("a", "b", F.when(F.col("mixed"), "UNRESOLVED").otherwise(F.col("disposition")).alias("disposition"), F.when(F.col("mixed"), "MIXED_PLACE").otherwise(F.col("reason")).alias("reason"))
-
-
-@query(_CROSS + """, o AS (SELECT least(from_link, to_link) AS p, greatest(from_link, to_link) AS q, CASE WHEN from_link % 2 = 0 THEN 'AT_GRADE' ELSE 'GRADE_SEPARATED' END AS decision FROM restrictions),
-d AS (SELECT p, q, CASE WHEN count(DISTINCT decision) > 1 THEN 'CONFLICT' ELSE min(decision) END AS decision FROM o GROUP BY p, q)
-SELECT a, b, disposition, decision, coalesce(decision = 'AT_GRADE', false) AS noded FROM c LEFT JOIN d ON p = least(a, b) AND q = greatest(a, b)""")
-def topo_override_decide(net: Network) -> DataFrame:
-    """Reviewed decisions on unordered pairs; conflicting ones leave the crossing unconnected. Only
-    a decision connects: what the classifier thinks alone never does."""
-    o = net.restrictions.select(F.least("from_link", "to_link").alias("p"), F.greatest("from_link", "to_link").alias("q"), F.when(F.col("from_link") % 2 == 0, "AT_GRADE").otherwise("GRADE_SEPARATED").alias("decision"))
-    d = o.groupBy("p", "q").agg(F.when(F.countDistinct("decision") > 1, "CONFLICT").otherwise(F.min("decision")).alias("decision"))
-    c = crossings(net).join(d, (F.col("p") == F.least("a", "b")) & (F.col("q") == F.greatest("a", "b")), "left")
-    return c.select("a", "b", "disposition", "decision", F.coalesce(F.col("decision") == "AT_GRADE", F.lit(False)).alias("noded"))
-
-
-@query(_CROSS + """, p AS (SELECT v.p AS policy, a, b, CASE v.p WHEN 'none' THEN false WHEN 'confirmed' THEN reason = 'WITNESS' WHEN 'possible' THEN disposition <> 'GRADE_SEPARATED' ELSE disposition = 'AT_GRADE' END AS noded FROM c, (VALUES ('none'), ('evidence'), ('confirmed'), ('possible')) AS v(p))
-SELECT policy, count(*) AS crossings, count(*) FILTER (noded) AS noded FROM p GROUP BY policy""")
-def topo_policy_gate(net: Network) -> DataFrame:
-    c = crossings(net).select("disposition", "reason", F.explode(F.array(*map(F.lit, ("none", "evidence", "confirmed", "possible")))).alias("policy"))
-    p = F.col("policy")
-    noded = F.when(p == "none", False).when(p == "confirmed", F.col("reason") == "WITNESS").when(p == "possible", F.col("disposition") != "GRADE_SEPARATED").otherwise(F.col("disposition") == "AT_GRADE")
-    return c.groupBy("policy").agg(F.count("*").alias("crossings"), F.count_if(noded).alias("noded"))
-
-
-@query(_CROSS + "\nSELECT a, b, node FROM c WHERE disposition <> 'AT_GRADE' AND reason <> 'BOTH_HIGHWAY'")
-def filter_canonical_candidate(net: Network) -> DataFrame:
-    return crossings(net).where("disposition <> 'AT_GRADE' AND reason <> 'BOTH_HIGHWAY'").select("a", "b", "node")
-
-
 # --- joins -------------------------------------------------------------------------------------
 @query("SELECT link_id, i AS place, CASE i WHEN 1 THEN source ELSE target END AS node, CASE i WHEN 1 THEN 0.0 ELSE 1.0 END :: DOUBLE AS fraction FROM links, (VALUES (1), (2)) AS v(i)")
 def join_unnest(net: Network) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -20,15 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows handed to Python at a time, so that few texts are held as Python strings, and bytes where
 #: the texts stay in Arrow.
-ROWS, TEXT_BYTES = 1024, 8 << 20
+ROWS, TEXT_BYTES = 1024, 4 << 20
 _OWNER: list = [None, None]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where it knows how: processes outlive what they ran."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def own_cache(name: str, clear: Callable[[], None]) -> None:
     """Python workers outlive stages: the operator that begins in one drops the last one's caches."""
     if _OWNER[0] != name:
         if _OWNER[1]:
             _OWNER[1]()
+            release()
         _OWNER[:] = [name, clear]
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, own_cache
+from .common import map_arrow, materialise, own_cache, release
 
 SAMPLE, BITS, ROUNDS = 4000, 15, 100
 GOOD, BAD, NONE = 1, 0, 2
@@ -206,6 +206,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFra
     taken = plain.where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     texts = [r.text for r in sorted(taken, key=lambda r: r.doc_id)]
     weights = train_scorer(texts, [post.get(votes(t), 0.5) for t in texts], bits) if texts else np.zeros((1 << bits) + EXTRA)
+    del texts, taken
+    release()
     shared, key = docs.sparkSession.sparkContext.broadcast((weights, post)), uuid.uuid4().hex
 
     def rows(b: dict) -> dict:

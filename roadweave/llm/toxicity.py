@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, map_arrow, own_cache
+from .common import fold, map_arrow, own_cache, release
 
 SAMPLE, LANDMARKS, FOLDS = 2500, 96, 5
 DECAY, SPAN, POWER = 0.7, 5, 2
@@ -218,13 +218,23 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [[[p for w in s for p in pieces(w)] for s in sentences(t or "")] for t in texts]
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for d, t in zip(docs, toxic, strict=True):
-        seen[t].update({w for s in d for w in s})
-    vocab = sorted(set(seen[0]) | set(seen[1]))
-    place = {w: i for i, w in enumerate(vocab)}
-    pos, neg = (np.array([seen[t][w] for w in vocab], float) for t in (1, 0))
+    # words by number, sentences and documents by where they end: no word is held twice
+    place: dict[str, int] = {}
+    word, sentence_ends, doc_ends = array("i"), array("i"), array("i")
+    for t in texts:
+        for s in sentences(t or ""):
+            word.extend(place.setdefault(p, len(place)) for w in s for p in pieces(w))
+            sentence_ends.append(len(word))
+        doc_ends.append(len(sentence_ends))
+    vocab = sorted(place)
+    number = np.empty(len(vocab), np.int32)
+    number[[place[w] for w in vocab]] = np.arange(len(vocab))
+    flat_all, sentence_ends, doc_ends = number[np.array(word, np.int64)], np.array(sentence_ends, np.int64), np.array(doc_ends, np.int64)
+    del place, word
+    cuts = np.concatenate(([0], sentence_ends))[np.concatenate(([0], doc_ends))]
+    pos, neg = np.zeros(len(vocab)), np.zeros(len(vocab))
+    for k, t in enumerate(toxic):
+        (pos if t else neg)[np.unique(flat_all[cuts[k] : cuts[k + 1]])] += 1
     share = y.mean() / (1 - y.mean())
     # how far a word's toxic documents exceed what its clean ones let expect
     expected = y.mean() * (pos + neg)
@@ -234,10 +244,15 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     marks = Landmarks(sorted({*most, *(vocab[i] for i in common)}))
     value, vector = np.linalg.eigh(marks.kernel(marks.words).astype(float))
     root = (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])).astype(np.float32)
-    phi = marks.kernel(vocab) @ root
+    phi = np.empty((len(vocab), root.shape[1]), np.float32)
+    for k in range(0, len(vocab), 8192):
+        phi[k : k + 8192] = marks.kernel(vocab[k : k + 8192]) @ root
     # sentences of toxic documents, end to end
-    at = [[place[w] for w in s] for d, t in zip(docs, toxic, strict=True) if t for s in d]
-    flat, begins = np.array([i for s in at for i in s]), np.cumsum([0, *map(len, at)])[:-1]
+    of_doc = np.repeat(np.arange(len(toxic)), np.diff(doc_ends, prepend=0))
+    size = np.diff(sentence_ends, prepend=0)
+    of_toxic = y[of_doc] == 1 if len(of_doc) else np.zeros(0, bool)
+    flat, size = flat_all[np.repeat(of_toxic, size)], size[of_toxic]
+    begins = np.cumsum(size) - size
     likely = lift > 2
     weight_pos = np.where(likely, np.maximum(pos - share * neg, 0), 0)
     w, bias = np.zeros(root.shape[1]), -1.0
@@ -252,10 +267,11 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         margin = np.where(likely, phi @ w + bias, -np.inf)[flat]
         # witnesses: the word of each toxic sentence that the machine marks most, if it marks any
         best = np.maximum.reduceat(margin, begins)
-        hit = (margin == np.repeat(best, np.diff([*begins, len(flat)]))) & (margin > 0)
+        hit = (margin == np.repeat(best, size)) & (margin > 0)
         weight_pos = np.bincount(flat[hit], minlength=len(vocab)).astype(float)
     scorer = WordScorer(Model(marks.words, root @ w, bias, np.zeros(7)))
-    feats = np.array([doc_features(scorer.margins([u for s in d for u in s])) for d in docs])
+    margin = np.concatenate([np.empty(0), *(scorer.score(vocab[k : k + 8192]) for k in range(0, len(vocab), 8192))])
+    feats = np.array([doc_features(margin[flat_all[cuts[k] : cuts[k + 1]]]) for k in range(len(toxic))])
     return Model(marks.words, root @ w, bias, _logistic(feats, y.astype(float)))
 
 
@@ -266,7 +282,8 @@ class WordScorer:
         self.place: dict[str, int] = {}
         self.values = np.zeros(4096)
 
-    def _add(self, words: list[str]) -> None:
+    def score(self, words: list[str]) -> np.ndarray:
+        """Margins of words, the highest of its pieces for a long run."""
         cut, owner = list(words), np.arange(len(words))
         long = [i for i, w in enumerate(words) if len(w) > _LONGEST]
         if long:  # of the pieces of a long run the highest margin counts
@@ -277,6 +294,10 @@ class WordScorer:
             owner = np.concatenate([owner, np.repeat(long, [len(p) - 1 for p in parts])])
         got = np.full(len(words), -np.inf)
         np.maximum.at(got, owner, (self.marks.shared(cut, self.table) ** 2) @ self.weight + self.model.bias)
+        return got
+
+    def _add(self, words: list[str]) -> None:
+        got = np.concatenate([self.score(words[k : k + 8192]) for k in range(0, len(words), 8192)])
         used = len(self.place)
         if used + len(words) > len(self.values):
             self.values = np.append(self.values, np.zeros(max(len(words), len(self.values))))
@@ -330,20 +351,24 @@ def _scorer(key: str, model: Model) -> WordScorer:
 def _scored(docs: DataFrame, labels: DataFrame, sample: int, columns: list[str]) -> DataFrame:
     """``row`` (a struct of the columns) and ``score``, in one pass without a shuffle."""
     model = fit(*training_sample(docs, labels, sample))
+    release()
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    wrapped = docs.select(F.struct(*columns).alias("row"), "text")
+    wrapped = docs.select(F.struct(*columns).alias("row"))
+    at = columns.index("text")
 
     def rows(b: dict) -> dict:
-        if shared.value is None:
-            return {"row": b["row"], "score": pa.array([0.0] * len(b["text"]), pa.float64())}
-        return {"row": b["row"], "score": pa.array(_scorer(key, shared.value).scores(b["text"].to_pylist()), pa.float64())}
+        text = b["row"].field(at).to_pylist()
+        score = [0.0] * len(text) if shared.value is None else _scorer(key, shared.value).scores(text)
+        return {"row": b["row"] if keep else b["row"].field(0), "score": pa.array(score, pa.float64())}
 
-    return map_arrow(wrapped, ["row", "text"], StructType([wrapped.schema["row"], StructField("score", DoubleType())]), rows, ["row", "score"])
+    keep = len(columns) > 2
+    kind = wrapped.schema["row"].dataType
+    return map_arrow(wrapped, ["row"], StructType([StructField("row", kind if keep else kind[0].dataType), StructField("score", DoubleType())]), rows, ["row", "score"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; rows keep no other column."""
-    scored = _scored(docs, labels, sample, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score")
+    scored = _scored(docs, labels, sample, ["doc_id", "text"]).select(F.col("row").cast("long").alias("doc_id"), "score")
     return scored.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

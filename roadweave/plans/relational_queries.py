@@ -60,11 +60,6 @@ def join_left_names(net: Network) -> DataFrame:
     return net.links.join(n, "source", "left").select("link_id", "name")
 
 
-@query("SELECT link_id FROM links l WHERE EXISTS (SELECT 1 FROM restrictions r WHERE r.from_link = l.link_id)")
-def join_semi_exists(net: Network) -> DataFrame:
-    return net.links.join(net.restrictions.select(F.col("from_link").alias("link_id")), "link_id", "left_semi").select("link_id")
-
-
 @query("""SELECT arc_id, 'missing' AS kind FROM arcs WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = link_id AND l_linenumber = 1 + arc_id % 2)
 UNION ALL SELECT DISTINCT l_orderkey * 2 + l_linenumber - 1, 'extra' FROM lineitem WHERE l_linenumber <= 2 AND NOT EXISTS (SELECT 1 FROM arcs WHERE arc_id = l_orderkey * 2 + l_linenumber - 1)""")
 def join_anti_missing(net: Network) -> DataFrame:
@@ -249,12 +244,6 @@ def agg_percentile(net: Network) -> DataFrame:
     return r.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select("rca_code", "p", F.col("length_mm").alias("value"))
 
 
-@query("SELECT rca_code, count(*) AS links, count(road_name) AS known, count(*) FILTER (road_name IS NOT NULL AND rca_code <> 3) AS shown, count(*) FILTER (road_name IS NOT NULL AND rca_code = 3) AS withheld, count(DISTINCT closure_group_id) AS features FROM links GROUP BY rca_code")
-def agg_naming_coverage(net: Network) -> DataFrame:
-    named, open_ = F.col("road_name").isNotNull(), F.col("rca_code") != 3
-    return net.links.groupBy("rca_code").agg(F.count("*").alias("links"), F.count("road_name").alias("known"), F.count_if(named & open_).alias("shown"), F.count_if(named & ~open_).alias("withheld"), F.countDistinct("closure_group_id").alias("features"))
-
-
 @query("""SELECT rca_code, k, n, round((k / n + 1.9208 / n - 1.96 * sqrt((k / n) * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 1.9208 / n + 1.96 * sqrt((k / n) * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high
 FROM (SELECT rca_code, CAST(count(*) FILTER (oneway) AS BIGINT) AS k, count(*) AS n FROM links GROUP BY rca_code)""")
 def agg_wilson(net: Network) -> DataFrame:

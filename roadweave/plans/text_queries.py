@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names as N
 from ..sources.lattice import Network
 from .catalogue import query
 
@@ -69,17 +68,6 @@ def fn_json(net: Network) -> DataFrame:
     return net.table("events").select("event_id", F.get_json_object("props", "$.nothing").alias("missing"), F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(lower(regexp_replace(p_name, '[(][^)]*[)]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> ''), ' ') AS key FROM part")
-def fn_search_key(net: Network) -> DataFrame:
-    return net.table("part").select("p_partkey", N.search_key("p_name", expand=False).alias("key"))
-
-
 @query("SELECT link_id, floor(length_mm / 100.0 + 0.5) / 10 AS metres FROM links")
 def fn_round_display(net: Network) -> DataFrame:
     return net.links.select("link_id", (F.floor(F.col("length_mm") / 100.0 + 0.5) / 10).alias("metres"))
-
-
-@query("""SELECT road_name, CASE WHEN road_name LIKE 'Row %' THEN 'Row' WHEN road_name LIKE 'Column %' THEN 'Column' END AS kind, CAST(regexp_extract(road_name, '([0-9]+)$', 1) AS BIGINT) AS number, count(*) AS n FROM links WHERE road_name IS NOT NULL GROUP BY ALL""")
-def fn_route_number(net: Network) -> DataFrame:
-    n = net.links.where("road_name is not null").groupBy("road_name").agg(F.count("*").alias("n"))
-    return n.select("road_name", F.regexp_extract("road_name", r"^(Row|Column) ", 1).alias("kind"), F.regexp_extract("road_name", r"([0-9]+)$", 1).cast("long").alias("number"), "n")

@@ -111,9 +111,9 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     return r.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn(name, F.col("b") + F.col("_r") - 1).drop("_p", "_r", "b")
 
 
-def crossings(lines: DataFrame) -> DataFrame:
-    """(a, b, x, y, along_a, along_b, angle): where two lines cross and neither ends. Lines that run
-    on each other are no crossing."""
+def crossings(lines: DataFrame, guard: float = SPLIT) -> DataFrame:
+    """(a, b, x, y, along_a, along_b, angle): where two lines cross and neither ends within the guard
+    (below zero: wherever they meet in a point). Lines that run on each other are no crossing."""
     dealt = by_cell(lines, ["feature"], 0.0)
     pairs = dealt.select(F.col("feature").alias("a"), "cx", "cy").join(dealt.select(F.col("feature").alias("b"), "cx", "cy"), ["cx", "cy"]).where("a < b").select("a", "b").distinct()
     side = lambda n: lines.select(F.col("feature").alias(n), F.col("line").alias(f"line_{n}"))
@@ -128,7 +128,7 @@ def crossings(lines: DataFrame) -> DataFrame:
     s = s.groupBy("a", "b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).agg(F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
     for n in ("a", "b"):
         s = s.withColumn(f"along_{n}", G.located(F.col(f"line_{n}"), F.col("x"), F.col("y")).along).withColumn(f"n_{n}", G.length(F.col(f"line_{n}")))
-        s = s.where((F.col(f"along_{n}") > SPLIT) & (F.col(f"along_{n}") < F.col(f"n_{n}") - SPLIT))
+        s = s.where((F.col(f"along_{n}") > guard) & (F.col(f"along_{n}") < F.col(f"n_{n}") - guard))
     angle = G.fold90(G.local_bearing(F.col("line_a"), F.col("along_a")) - G.local_bearing(F.col("line_b"), F.col("along_b")))
     return s.select("a", "b", "x", "y", "along_a", "along_b", F.round(angle, 6).alias("angle"), "line_a", "line_b")
 

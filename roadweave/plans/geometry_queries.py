@@ -69,16 +69,6 @@ def geo_reverse(net: Network) -> DataFrame:
     return lines(net).select("link_id", p.x.alias("x_first"), p.y.alias("y_first"))
 
 
-@query(""", cuts AS (SELECT arc_id, cost_mm, (arc_id % 7 + 1) * cost_mm // 10 AS c1, (arc_id % 7 + 2) * cost_mm // 10 AS c2 FROM arcs)
-SELECT arc_id, k AS piece, CASE k WHEN 0 THEN 0 WHEN 1 THEN c1 ELSE c2 END AS from_mm, CASE k WHEN 0 THEN c1 WHEN 1 THEN c2 ELSE cost_mm END AS to_mm, k = 1 AS closed FROM cuts, (VALUES (0), (1), (2)) AS v(k)""")
-def o_vsplit(net: Network) -> DataFrame:
-    """Arcs cut at two places: three pieces that add up to the whole, the middle one closed."""
-    i, n = F.col("arc_id") % 7, F.col("cost_mm")
-    marks = F.array(F.lit(0).cast("long"), F.floor((i + 1) * n / 10), F.floor((i + 2) * n / 10), n)
-    a = net.arcs.select("arc_id", marks.alias("m")).select("arc_id", "m", F.explode(F.array(*map(F.lit, range(3)))).alias("piece"))
-    return a.select("arc_id", "piece", F.get("m", F.col("piece")).alias("from_mm"), F.get("m", F.col("piece") + 1).alias("to_mm"), (F.col("piece") == 1).alias("closed"))
-
-
 @query("SELECT link_id, '{\"type\":\"Feature\",\"id\":' || link_id || ',\"properties\":{\"length_mm\":' || length_mm || ',\"oneway\":' || CASE WHEN oneway THEN 'true' ELSE 'false' END || '}}' AS feature FROM links")
 def sink_geojson(net: Network) -> DataFrame:
     f = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("link_id").alias("id"), F.struct("length_mm", "oneway").alias("properties")))

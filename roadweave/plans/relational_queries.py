@@ -116,12 +116,6 @@ def join_lateral_nearest(net: Network) -> DataFrame:
     return near.select("link_id", "m.near_link", "m.distance")
 
 
-@query(_NEAREST + "3")
-def join_knn(net: Network) -> DataFrame:
-    w = Window.partitionBy("link_id").orderBy("distance", "near_link")
-    return _within(net).withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
-
-
 @query("SELECT closure_group_id, count(*) OVER w AS children, CAST(sum(length_mm) OVER w AS BIGINT) AS group_length, link_id FROM links WINDOW w AS (PARTITION BY closure_group_id)")
 def join_group_stats(net: Network) -> DataFrame:
     w = Window.partitionBy("closure_group_id")

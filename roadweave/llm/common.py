@@ -45,6 +45,15 @@ def own_cache(name: str, clear: Callable[[], None]) -> None:
         _OWNER[:] = [name, clear]
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows; their session hands them to Python in batches of few bytes, so that executors
+    and workers hold few long texts at a time."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) not in range(1, 2 * TEXT_BYTES + 1):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * TEXT_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, and of about ``most`` bytes if told (one long row may be more)."""
     for batch in batches:
@@ -81,7 +90,7 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str | StructType, rows:
             got = rows({c: batch.column(i) for i, c in enumerate(columns)})
             yield pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in (got[n] for n in names)], names=names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return lean(df).select(*columns).mapInArrow(run, schema)
 
 
 def fold(doc_id: str | Column, k: int) -> Column:

@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, is_local, local_path, materialise, scratch, slices
+from .common import TEXT_BYTES, is_local, lean, local_path, materialise, scratch, slices
 from .encoding import encoder
 
 #: Bytes of an id: the vocabularies in use stay under 65,536 (the encoder checks it).
@@ -58,7 +58,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             size = _RECORD.itemsize
             yield pa.RecordBatch.from_arrays([pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary()), pa.array(["docs"] * len(ends))], names=["value", "kind"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "value binary, kind string")
+    found = lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "value binary, kind string")
     # two open files a task instead of a sort by kind, so rows keep their order
     before = spark.conf.get(_WRITERS)
     spark.conf.set(_WRITERS, "2")

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, materialise, scratch, slices, text_sample
+from .common import TEXT_BYTES, lean, materialise, scratch, slices, text_sample
 from .encoding import encoder
 
 MAGIC, TAIL = b"RWTOKEN1", "RWTE"
@@ -105,7 +105,7 @@ def frames(docs: DataFrame, tokenizer: str, end_id: int, width: int, raw: bytes)
             packed = [press(view[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, frame binary")
+    return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, frame binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: int = 2, dict_bytes: int = 65536, sample_docs: int = 1000, sample_bytes: int = 65536, shard_bytes: int = 8 << 20) -> None:

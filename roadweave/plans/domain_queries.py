@@ -27,13 +27,6 @@ def join_verdicts(net: Network) -> DataFrame:
     return o.select("o_orderkey", F.coalesce("n", F.lit(0)).cast("long").alias("verdicts"), verdict.alias("verdict"))
 
 
-@query("""SELECT o_custkey, min(l_linenumber) AS nearest, CAST(sum(CASE WHEN l_quantity <= 25 THEN 1 ELSE 0 END) AS BIGINT) AS covered, count(*) AS samples, min(l_shipdate) AS first_ship FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
-def agg_match_group(net: Network) -> DataFrame:
-    """Features that share a name merged: least separation, covered samples, all samples."""
-    m = net.table("orders").select("o_orderkey", "o_custkey").join(net.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return m.groupBy("o_custkey").agg(F.min("l_linenumber").alias("nearest"), F.count_if(F.col("l_quantity") <= 25).alias("covered"), F.count("*").alias("samples"), F.min("l_shipdate").alias("first_ship"))
-
-
 # --- windows, order and samples ----------------------------------------------------------------
 @query("""SELECT link_id, rca_code, r FROM (SELECT link_id, rca_code, row_number() OVER (PARTITION BY rca_code ORDER BY link_id) AS r, count(*) OVER (PARTITION BY rca_code) AS n FROM links) WHERE r % greatest(n // 40, 1) = 1 % greatest(n // 40, 1) OR r = n""")
 def win_systematic_sample(net: Network) -> DataFrame:
@@ -97,13 +90,6 @@ def s_replay_digest(net: Network) -> DataFrame:
     return b.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.sum("n").alias("n"))
 
 
-@query("""SELECT link_id, array_to_string(list_filter([CASE WHEN length_mm % 3 = 0 THEN 'metric' END, CASE WHEN oneway THEN 'closure_set' END, CASE WHEN speed_kph IS NULL THEN 'isolation' END], lambda f: f IS NOT NULL), ',') AS kinds FROM links""")
-def s_shadow(net: Network) -> DataFrame:
-    """In which ways two engines' answers differ, as flags."""
-    flags = F.array_compact(F.array(F.when(F.col("length_mm") % 3 == 0, "metric"), F.when(F.col("oneway"), "closure_set"), F.when(F.col("speed_kph").isNull(), "isolation")))
-    return net.links.select("link_id", F.array_join(flags, ",").alias("kinds"))
-
-
 @query("""SELECT l.link_id, d.k AS direction, v.scope, a.arc_id FROM links l, (VALUES (0), (1)) AS d(k), (VALUES ('physical'), ('directed')) AS v(scope) JOIN arcs a ON (v.scope = 'physical' AND a.closure_group_id = l.closure_group_id) OR (v.scope = 'directed' AND a.arc_id = l.link_id * 2 + d.k) WHERE d.k = 0 OR NOT l.oneway""")
 def v1_scope(net: Network) -> DataFrame:
     """Arcs that closing each direction of each link removes: those of the whole physical road, or

@@ -238,16 +238,6 @@ def agg_percentile(net: Network) -> DataFrame:
     return r.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select("rca_code", "p", F.col("length_mm").alias("value"))
 
 
-@query("""SELECT rca_code, k, n, round((k / n + 1.9208 / n - 1.96 * sqrt((k / n) * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 1.9208 / n + 1.96 * sqrt((k / n) * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high
-FROM (SELECT rca_code, CAST(count(*) FILTER (oneway) AS BIGINT) AS k, count(*) AS n FROM links GROUP BY rca_code)""")
-def agg_wilson(net: Network) -> DataFrame:
-    """95 % Wilson interval of a share."""
-    g = net.links.groupBy("rca_code").agg(F.count_if("oneway").alias("k"), F.count("*").alias("n"))
-    p, n, z = F.col("k") / F.col("n"), F.col("n"), 1.96
-    mid, half = p + z * z / 2 / n, z * F.sqrt(p * (1 - p) / n + z * z / 4 / (n * n))
-    return g.select("rca_code", "k", "n", F.round((mid - half) / (1 + z * z / n), 6).alias("low"), F.round((mid + half) / (1 + z * z / n), 6).alias("high"))
-
-
 # --- windows, order, samples -------------------------------------------------------------------
 @query("SELECT link_id, rca_code FROM links QUALIFY row_number() OVER (PARTITION BY rca_code ORDER BY md5(CAST(link_id AS VARCHAR)), link_id) <= 8")
 def win_stratified(net: Network) -> DataFrame:
@@ -274,23 +264,11 @@ def win_candidate_rank(net: Network) -> DataFrame:
     return net.table("lineitem").withColumn("r", F.row_number().over(w).cast("long")).where("r <= 2").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "r")
 
 
-@query("SELECT link_id, CAST(row_number() OVER (PARTITION BY closure_group_id ORDER BY speed_kph ASC NULLS LAST, road_name NULLS LAST, link_id) AS BIGINT) AS place FROM links")
-def sort_ports(net: Network) -> DataFrame:
-    w = Window.partitionBy("closure_group_id").orderBy(F.asc_nulls_last("speed_kph"), F.asc_nulls_last("road_name"), "link_id")
-    return net.links.select("link_id", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("SELECT node_id, in_degree * out_degree AS movements FROM (" + _DEGREE + ") ORDER BY movements DESC, node_id LIMIT 5")
 def topk_degree(net: Network) -> DataFrame:
     return _in_out(net).select("node_id", (F.col("in_degree") * F.col("out_degree")).alias("movements")).orderBy(F.desc("movements"), "node_id").limit(5)
 
 
-@query("""SELECT a.link_id FROM links a LEFT JOIN restrictions r ON r.from_link = a.link_id WHERE r.from_link IS NULL AND a.rca_code = 1""")
-def resume_checkpoint(net: Network) -> DataFrame:
-    """What is left to do: keys asked for without those recorded."""
-    return net.links.where("rca_code = 1").select("link_id").join(net.restrictions.select(F.col("from_link").alias("link_id")), "link_id", "left_anti")
-
-
 @query("SELECT source AS node_id, 'source' AS side FROM links UNION ALL SELECT target, 'target' FROM links")
 def set_union_all(net: Network) -> DataFrame:
     return net.links.select(F.col("source").alias("node_id"), F.lit("source").alias("side")).unionByName(net.links.select(F.col("target").alias("node_id"), F.lit("target").alias("side")))
@@ -322,22 +300,4 @@ def set_intersection(net: Network) -> DataFrame:
     return a.select("from_link", "to_link", F.explode(F.array_intersect("e1", "e2")).alias("shared"))
 
 
-@query("""SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
-def sink_upsert(net: Network) -> DataFrame:
-    """The last row written of each key, as an upsert leaves it."""
-    g = net.table("events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
-    return g.select("user_id", "event_type", "m.event_id")
-
-
 # --- assurance ---------------------------------------------------------------------------------
-@query("""SELECT 'SELF_LOOP' AS issue, link_id AS subject, 'error' AS severity FROM links WHERE source = target
-UNION ALL SELECT 'IMPLAUSIBLE_LENGTH', link_id, 'warning' FROM links WHERE length_mm > 490000
-UNION ALL SELECT 'SPEED_PROVENANCE', link_id, 'info' FROM links WHERE speed_kph IS NULL
-UNION ALL SELECT 'DUPLICATE_STABLE_ID', min(o_orderkey), 'error' FROM raw_links GROUP BY source, target HAVING count(*) > 1""")
-def q_run(net: Network) -> DataFrame:
-    one = lambda df, issue, severity: df.select(F.lit(issue).alias("issue"), F.col("link_id").alias("subject"), F.lit(severity).alias("severity"))
-    w, n, k, across = net.width, net.size, F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
-    o = net.table("orders").where("o_orderkey % 5 = 0").where(F.when(across, (k % w < w - 1) & (k + 1 < n)).otherwise(k + w < n))
-    dup = o.groupBy(k, k + F.when(across, 1).otherwise(w)).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("link_id")).where("n > 1")
-    found = one(net.links.where("source = target"), "SELF_LOOP", "error").union(one(net.links.where("length_mm > 490000"), "IMPLAUSIBLE_LENGTH", "warning"))
-    return found.union(one(net.links.where("speed_kph is null"), "SPEED_PROVENANCE", "info")).union(one(dup, "DUPLICATE_STABLE_ID", "error"))

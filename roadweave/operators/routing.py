@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
@@ -50,15 +50,19 @@ def scan_edges(arcs: DataFrame, profile: str = "car", metric: str = "distance",
     return a.select(F.col("arc_id").alias("id"), "source", "target", F.col(cost).alias("cost"), F.lit(-1).cast("long").alias("reverse_cost"))
 
 
-def scan_overlay(spark, pieces: list[tuple[int, int, int, float]]) -> DataFrame:  # noqa: ANN001
+def checked_overlay(rows: DataFrame) -> DataFrame:
     """Arcs that exist for one request: (id, source, target, cost, reverse_cost). A cost that is no
     number, infinite or negative fails the request."""
-    rows = spark.createDataFrame(pieces, "id long, source long, target long, cost double")
     sound = F.coalesce(~F.isnan("cost") & (F.col("cost") >= 0) & (F.col("cost") < float("inf")), F.lit(False))
     cost = F.when(sound, F.col("cost")).otherwise(F.raise_error(F.concat(F.lit("overlay arc with an unusable cost: "), F.col("id").cast("string"))).cast("double"))
     return rows.select("id", "source", "target", cost.alias("cost"), F.lit(-1.0).alias("reverse_cost"))
 
 
+def scan_overlay(spark: SparkSession, pieces: list[tuple[int, int, int, float]]) -> DataFrame:
+    """The same of rows given in the request."""
+    return checked_overlay(spark.createDataFrame(pieces, "id long, source long, target long, cost double"))
+
+
 def _csr(node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(node, kind="stable")
     return order, np.concatenate(([0], np.cumsum(np.bincount(node, minlength=n))))

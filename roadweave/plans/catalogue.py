@@ -28,4 +28,4 @@ def query(sql: str | None = None, slow: bool = False) -> Callable:
     return add
 
 
-from . import assurance_queries, domain_queries, geometry_queries, graph_queries, isolation_queries, label_queries, relational_queries, route_queries, span_queries, text_queries, topology_queries  # noqa: E402, F401
+from . import assurance_queries, domain_queries, geometry_queries, graph_queries, isolation_queries, label_queries, relational_queries, route_queries, span_queries, study_queries, text_queries, topology_queries  # noqa: E402, F401

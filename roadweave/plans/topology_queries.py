@@ -106,7 +106,7 @@ ctx AS (
 
 def _context(net: Network) -> DataFrame:
     s = Streets(net)
-    return T.context(T.crossings(s.features), s.features, s.structures)
+    return T.context(materialise(T.crossings(s.features), "crossings"), s.features, s.structures)
 
 
 @query(_CONTEXT + "\nSELECT a, b, witness, ramps_near, highways_near, round(structure_distance, 3) AS structure_distance, structure_align, false AS duplicate FROM ctx")
@@ -123,7 +123,7 @@ _CLASSIFIED = _CONTEXT + """, cl AS (
 
 
 def _classified(net: Network) -> DataFrame:
-    return materialise(T.classify(_context(net)).select("a", "b", "x", "y", "along_a", "along_b", "disposition", "reason", "confidence"), "crossings")
+    return materialise(T.classify(_context(net)).select("a", "b", "x", "y", "along_a", "along_b", "disposition", "reason", "confidence"), "classified")
 
 
 @query(_CLASSIFIED + "\nSELECT a, b, disposition, reason, confidence FROM cd")
@@ -150,7 +150,7 @@ def topo_cluster_places(net: Network) -> DataFrame:
 
 
 def _demoted(net: Network) -> DataFrame:
-    return T.demote_mixed(T.places(_classified(net)))
+    return materialise(T.demote_mixed(T.places(_classified(net))), "demoted")
 
 
 @query(_PLACES + "\nSELECT a, b, disposition, reason FROM dm")

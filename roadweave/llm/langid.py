@@ -18,11 +18,9 @@ ignored, lang and source of a document never enter its score."""
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

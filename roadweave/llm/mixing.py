@@ -8,11 +8,13 @@ Targets are shares, given or tempered from the corpus (its shares to a power, so
 gain on large ones); target values without tokens are left out and the others rescaled.
 
 Topics come from a mixture of word distributions over hashed words, fitted by expectation-
-maximisation to a bounded sample: of the ``sample_docs`` different rows with the smallest hash of id
-and text, those of at most ``sample_bytes`` bytes. Every document then takes the topic under which
-its words are likeliest, ties the lower number, a text without words -1. Texts are read once: topic,
-words and the kept columns are written to the shared folder, and cells and decisions come from there.
-A decision is a hash of the id against the probability, so it does not depend on partitions or order.
+maximisation to every row that has a word, whole and copies included. Texts are read once: the kept
+columns and each text's hashed words with their counts are written to the shared folder; each round
+of the fit reads those words and adds up one table of words by topics, in multiples of 2**-26, so
+that the sums are exact and the fit does not depend on how rows are dealt (past 2**27 a word and
+topic, sums are rounded as doubles are). Every document then takes the topic under which its words
+are likeliest, ties the lower number, a text without words -1. A decision is a hash of the id
+against the probability, so it does not depend on partitions or order.
 
 Cells are as many as sources, languages and topics met. Up to ``max_cells`` they are raked in memory
 and broadcast; beyond, the same steps, rounds and limits run as aggregations and joins over the cell
@@ -27,21 +29,28 @@ of its own results)."""
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import TEXT_BYTES, lean, materialise, release, slices, text_sample
+from .common import TEXT_BYTES, lean, materialise, slices
 
 TOPICS, KEEP, POWER, SEED = 8, 0.5, 0.7, 17
-SAMPLE_DOCS, SAMPLE_BYTES, BITS, TOPIC_ROUNDS = 2000, 65536, 12, 40
+BITS, TOPIC_ROUNDS = 12, 40
+#: No bound of the fit, which reads every row; tests read a small table whole with them.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 65536
 MARGINS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS, CLOSE = 50_000, 200, 1e-9
+#: A hashed word of a text and how often it stands there.
+WORD = np.dtype([("word", "<u2"), ("n", "<u4")])
+#: Rows scored at a time, few enough for the processor's cache.
+BLOCK = 128
 RESULTS = ("_rw_topic", "_rw_tokens", "_rw_weight", "_rw_probability", "_rw_sampled")
 
 
@@ -49,77 +58,226 @@ def bucket(word: str, bits: int = BITS) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % (1 << bits)
 
 
-def fit_topics(texts: list[str], topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
-    """Log-probabilities of the hashed words (rows) under each topic (columns): a mixture of word
-    distributions. It starts from documents that lie apart, the next always the one least like those
-    before it; words count by the square root, so no frequent word decides alone."""
-    x = np.zeros((len(texts), 1 << bits), np.float32)
-    for i, t in enumerate(texts):
-        at, n = np.unique([bucket(w, bits) for w in t.lower().split()], return_counts=True)
-        x[i, at.astype(int)] = np.sqrt(n)
-    x = x[x.any(1)]
-    if not len(x):
-        return np.zeros((1 << bits, topics))
-    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    chosen = [int((unit @ unit.mean(0)).argmax())]
-    likest = unit @ unit[chosen[0]]
-    for _ in range(1, min(topics, len(x))):
-        chosen.append(int(likest.argmin()))
-        likest = np.maximum(likest, unit @ unit[chosen[-1]])
-    near = (unit @ unit[chosen].T).argmax(1)
-    post = np.zeros((len(x), topics))
-    post[np.arange(len(x)), near] = 1.0
-    common = x.sum(0) + 1e-3
-    for _ in range(rounds):
-        word = (post.T.astype(np.float32) @ x).astype(float) + 20 * common / common.sum()
-        logs = np.log(word / word.sum(1, keepdims=True)).T
-        prior = np.log((post.sum(0) + 1) / (len(x) + topics))
-        score = x @ logs.astype(np.float32) + prior
-        new = np.exp(score - score.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
-        if np.abs(new - post).max() < 1e-6:
+def count_words(texts: pa.Array, bits: int = BITS) -> tuple[list[bytes], np.ndarray]:
+    """Each text's hashed words with their counts, as bytes, and its number of words."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+    numbered = lists.flatten().dictionary_encode()
+    each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # white space at either end leaves empty words, which are none
+    at = np.fromiter((bucket(w, bits) if w else -1 for w in numbered.dictionary.to_pylist()), np.int64, len(numbered.dictionary))
+    at = at[numbered.indices.to_numpy(zero_copy_only=False)]
+    key = (np.repeat(np.arange(len(each)), each) << bits) | at
+    key = np.sort(key[at >= 0])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    found = np.empty(len(first), WORD)
+    found["word"], found["n"] = key[first] & ((1 << bits) - 1), np.diff(first, append=len(key))
+    ends = np.cumsum(np.bincount(key[first] >> bits, minlength=len(each))).tolist()
+    return [found[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.bincount(key >> bits, minlength=len(each))
+
+
+Words = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def unpack(words: list[bytes]) -> Words:
+    """Words and counts of texts, one after the other, and how many each text has."""
+    flat = np.frombuffer(b"".join(words), WORD)
+    return flat["word"].astype(np.int64), flat["n"].astype(float), np.fromiter(map(len, words), np.int64, len(words)) // WORD.itemsize
+
+
+def damped(words: list[bytes]) -> Words:
+    """The same with square roots of the counts, so that no frequent word decides alone."""
+    word, n, size = unpack(words)
+    return word, np.round(np.sqrt(n) * 256) / 256, size
+
+
+def weigh(words: Words, table: np.ndarray) -> np.ndarray:
+    """Sums of each text's values times the rows of a table (words by columns); texts have words."""
+    word, value, size = words
+    ends, got, columns = np.cumsum(size), np.empty((len(size), table.shape[1])), np.ascontiguousarray(table.T)
+    for i in range(0, len(size), BLOCK):
+        starts = (ends - size)[i : i + BLOCK]
+        a, b = starts[0], ends[i : i + BLOCK][-1]
+        for k, column in enumerate(columns):
+            got[i : i + BLOCK, k] = np.add.reduceat(column.take(word[a:b]) * value[a:b], starts - a)
+    return got
+
+
+def lengths(words: Words) -> np.ndarray:
+    return np.sqrt(np.add.reduceat(words[1] ** 2, np.cumsum(words[2]) - words[2]))
+
+
+def totals(words: Words, width: int) -> np.ndarray:
+    """Sums of the texts' directions and of their values by word; last, their number."""
+    word, value, size = words
+    unit = np.round(value / np.repeat(lengths(words), size) * 2**26) / 2**26
+    sums = np.stack([np.bincount(word, v, width) for v in (unit, value)])
+    return np.column_stack([sums, [len(size)] * 2])
+
+
+def shares(words: Words, post: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the values by topic and word under these shares of topics; last, the shares' sums."""
+    word, value, size = words
+    topics = post.shape[1]
+    sums = np.zeros((topics, width))
+    order = np.argsort(-post, axis=1, kind="stable")
+    for rank in range(topics):  # most texts have few topics
+        topic = order[:, rank]
+        p = post[np.arange(len(post)), topic]
+        some = p > 0
+        if not some.any():
             break
-        post = new
+        entries = np.repeat(some, size)
+        key = np.repeat((topic * width)[some], size[some]) + word[entries]
+        sums += np.bincount(key, value[entries] * np.repeat(p[some], size[some]), topics * width).reshape(topics, width)
+    return np.column_stack([sums, post.sum(0)])
+
+
+def unlike_mean(words: Words, mean: np.ndarray) -> np.ndarray:
+    """Lowest for the text whose direction is most like the mean."""
+    return -weigh(words, mean)[:, 0] / lengths(words)
+
+
+def unlike_starts(words: Words, starts: np.ndarray) -> np.ndarray:
+    """Lowest for the text with the greatest length that no start shares: among many rows the least
+    like ones are odd texts of a few words, which make no topics."""
+    return weigh(words, starts).max(1) - lengths(words)
+
+
+def first_shares(words: Words, starts: np.ndarray) -> np.ndarray:
+    """``shares`` with each text in the topic of the start most like it."""
+    near = np.round(weigh(words, starts) / lengths(words)[:, None], 9).argmax(1)
+    return shares(words, np.eye(starts.shape[1])[near], len(starts))
+
+
+def next_shares(words: Words, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """``shares`` with each text in its topics as they are likely."""
+    score = weigh(words, logs) + prior
+    post = np.exp(score - score.max(1, keepdims=True))
+    return shares(words, np.round(post / post.sum(1, keepdims=True) * 2**18) / 2**18, len(logs))
+
+
+def _fit(added: Callable, least: Callable, topics: int, bits: int, rounds: int) -> np.ndarray:
+    """The mixture. ``added(step)`` adds up what a step makes of each batch of words; ``least(rank)``
+    gives the words of the text that ranks lowest, ties by their order."""
+    width = 1 << bits
+    first = added(partial(totals, width=width))
+    n = first[0, -1]
+    if not n:
+        return np.zeros((width, topics))
+
+    def start(rank: Callable) -> np.ndarray:
+        word, value, _ = words = damped([least(rank)])
+        return np.bincount(word, value / lengths(words)[0], width)[:, None]
+
+    mean = first[0, :-1, None] / n
+    starts = start(partial(unlike_mean, mean=mean))
+    for _ in range(1, topics):
+        starts = np.hstack([starts, start(partial(unlike_starts, starts=starts))])
+    common = first[1, :-1] + 1e-3
+    sums = added(partial(first_shares, starts=starts))
+    for last in [False] * (rounds - 1) + [True]:
+        word = sums[:, :-1] + 20 * common / common.sum()
+        logs = np.log(word / word.sum(1, keepdims=True)).T
+        if not last:
+            prior = np.log((sums[:, -1] + 1) / (n + topics))
+            old, sums = sums, added(partial(next_shares, logs=logs, prior=prior))
+            if (sums == old).all():
+                break
     # what sets topics apart: words that all topics share weigh nothing
     return np.round(logs - logs.mean(1, keepdims=True), 9)
 
 
-def mark_topics(texts: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Topic and number of words of each text."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
-    numbered = lists.flatten().dictionary_encode()
-    words = numbered.dictionary.to_pylist()
-    each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    word = numbered.indices.to_numpy(zero_copy_only=False)
-    # white space at either end leaves empty words, which are none
-    real = np.fromiter(map(bool, words), bool, len(words))[word]
-    rows = logs[np.fromiter((bucket(w, len(logs).bit_length() - 1) for w in words), np.int64, len(words))]
-    topic, tokens = np.full(len(each), -1, np.int32), np.zeros(len(each), np.int64)
-    ends = np.concatenate(([0], np.cumsum(real)))[np.cumsum(each)]
-    tokens[:] = np.diff(ends, prepend=0)
-    some = np.flatnonzero(tokens)
-    if len(some):
-        score = np.add.reduceat(rows[word[real]], (ends - tokens)[some], axis=0)
-        topic[some] = np.round(score, 6).argmax(1)
-    return topic, tokens
-
-
-def with_topics(docs: DataFrame, logs: np.ndarray, columns: list[str]) -> DataFrame:
-    """``row`` (a struct of the columns), the margins' source and lang, doc_id, topic and tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
+def fit_topics(texts: list[str], topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Log-probabilities of the hashed words (rows) under each topic (columns): a mixture of word
+    distributions fitted to the texts. It starts from texts that lie apart, the next always the one
+    with most that those before it do not share, and runs for the rounds told or until no share of a topic changes."""
+    packed = [w for w in count_words(pa.array(texts, pa.string()), bits)[0] if w]
+    words = damped(packed)
+    return _fit(lambda step: step(words), lambda rank: packed[int(np.round(rank(words), 9).argmin())], topics, bits, rounds)
+
+
+def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """The same fit over all rows of a table of ``tie`` (their order) and ``words``. A task hands on
+    one array or one row."""
+    rows = lean(counted).where(F.octet_length("words") > 0)
+    share = counted.sparkSession.sparkContext.broadcast
+
+    def added(step: Callable) -> np.ndarray:
+        # steps hold tables of words by topics
+        shared = share(step)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = sum((shared.value(damped(b.column(0).to_pylist())) for b in slices(batches, 4096)), 0)
+            if not np.isscalar(sums):
+                yield pa.RecordBatch.from_arrays([pa.array([len(sums)]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, sums = 0, 0
+            for b in batches:
+                for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B007
+                    sums = sums + np.frombuffer(s)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+
+        parts = rows.select("words").mapInArrow(part, "n long, sums binary")
+        got = parts.repartition(1).mapInArrow(whole, "n long, sums binary").collect()
+        shared.destroy()
+        return np.frombuffer(got[0].sums).reshape(got[0].n, -1) if got else np.zeros((2, (1 << bits) + 1))
+
+    def least(rank: Callable) -> bytes:
+        shared = share(rank)
+
+        def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in slices(batches, 4096):
+                words = b.column(1).to_pylist()
+                ranks = np.round(shared.value(damped(words)), 9)
+                for i in np.flatnonzero(ranks == ranks.min()).tolist() if words else []:
+                    here = (float(ranks[i]), b.column(0)[i].as_py(), words[i])
+                    best = min(best or here, here)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]], pa.binary())], names=["rank", "tie", "words"])
+
+        got = rows.select("tie", "words").mapInArrow(lowest, "rank double, tie long, words binary").agg(F.min(F.struct("rank", "tie", "words")).alias("r")).first().r
+        shared.destroy()
+        return bytes(got.words)
+
+    return _fit(added, least, topics, bits, rounds)
+
+
+def with_words(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns), the margins' source and lang, doc_id, tokens, the row's
+    place among ties and its words."""
     inside = "text" in columns  # then it is handed over once, within the row
-    at = columns.index("text") if inside else 3
-    keys = F.struct("source", "lang", F.col("doc_id").cast("long").alias("doc_id"), *([] if inside else ["text"]))
+    at = columns.index("text") if inside else 4
+    number = F.col("doc_id").cast("long")
+    keys = F.struct("source", "lang", number.alias("doc_id"), F.xxhash64(number, "text").alias("tie"), *([] if inside else ["text"]))
     wrapped = lean(docs).select(F.struct(*columns).alias("row"), keys.alias("keys"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096, TEXT_BYTES):
             row, k = b.columns
-            topic, tokens = mark_topics((row if inside else k).field(at), shared.value)
-            yield pa.RecordBatch.from_arrays([row, k.field(0), k.field(1), k.field(2), pa.array(topic), pa.array(tokens)], names=["row", "source", "lang", "doc_id", "topic", "tokens"])
+            words, tokens = count_words((row if inside else k).field(at))
+            yield pa.RecordBatch.from_arrays([row, *(k.field(i) for i in range(4)), pa.array(tokens), pa.array(words, pa.binary())], names=["row", "source", "lang", "doc_id", "tie", "tokens", "words"])
 
     kinds = wrapped.schema["keys"].dataType
-    return wrapped.mapInArrow(mark, StructType([wrapped.schema["row"], kinds["source"], kinds["lang"], kinds["doc_id"], StructField("topic", IntegerType()), StructField("tokens", LongType())]))
+    return wrapped.mapInArrow(count, StructType([wrapped.schema["row"], *(kinds[c] for c in ("source", "lang", "doc_id", "tie")), StructField("tokens", LongType()), StructField("words", BinaryType())]))
+
+
+def with_topics(counted: DataFrame, logs: np.ndarray) -> DataFrame:
+    """The rows of ``with_words`` with their topic instead of words."""
+    shared = counted.sparkSession.sparkContext.broadcast(logs)
+    kept = ["row", "source", "lang", "doc_id", "tokens"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096, TEXT_BYTES):
+            words = unpack(b.column(5).to_pylist())
+            topic, some = np.full(b.num_rows, -1, np.int32), words[2] > 0
+            if some.any():
+                topic[some] = np.round(weigh((*words[:2], words[2][some]), shared.value), 6).argmax(1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(topic)], names=[*kept, "topic"])
+
+    return lean(counted).select(*kept, "words").mapInArrow(mark, StructType([*(counted.schema[c] for c in kept), StructField("topic", IntegerType())]))
 
 
 def tempered(tokens: dict, power: float) -> dict:
@@ -230,13 +388,11 @@ def cell_table(spark: SparkSession, cells: DataFrame, keep: float = KEEP, power:
     return F.broadcast(spark.createDataFrame(rows, f"source {kinds['source']}, lang {kinds['lang']}, topic int, tokens long, weight double, probability double"))
 
 
-def _decided(docs: DataFrame, columns: list[str], topics: int, keep: float, power: float, targets: list[dict] | None, seed: int, max_cells: int, sample_docs: int, sample_bytes: int) -> DataFrame:
+def _decided(docs: DataFrame, columns: list[str], topics: int, keep: float, power: float, targets: list[dict] | None, seed: int, max_cells: int) -> DataFrame:
     """``row`` (a struct of the columns) with the results."""
-    texts = text_sample(docs, sample_docs, sample_bytes)
-    logs = fit_topics(texts, topics)
-    del texts
-    release()
-    marked = materialise(with_topics(docs, logs, columns), "mix-marked")
+    counted = materialise(with_words(docs, columns), "mix-words")
+    logs = fit_table(counted, topics)
+    marked = materialise(with_topics(counted, logs), "mix-marked")
     cells = marked.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
     cells = cell_table(docs.sparkSession, cells, keep, power, targets, max_cells)
     cells = cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "weight", "probability")
@@ -247,15 +403,15 @@ def _decided(docs: DataFrame, columns: list[str], topics: int, keep: float, powe
     return joined.select("row", *(F.col(c).alias(n) for c, n in zip(("topic", "tokens", "weight", "probability"), RESULTS, strict=False)), (u < F.col("probability")).alias("_rw_sampled"))
 
 
-def mix(docs: DataFrame, columns: list[str] | None = None, topics: int = TOPICS, keep: float = KEEP, power: float = POWER, targets: list[dict] | None = None, seed: int = SEED, max_cells: int = MAX_CELLS, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def mix(docs: DataFrame, columns: list[str] | None = None, topics: int = TOPICS, keep: float = KEEP, power: float = POWER, targets: list[dict] | None = None, seed: int = SEED, max_cells: int = MAX_CELLS) -> DataFrame:
     """The rows (all columns, or those named) with _rw_topic, _rw_tokens, _rw_weight (of the cell),
     _rw_probability, _rw_sampled."""
     columns = columns or docs.columns
     if set(columns) & set(RESULTS):
         raise ValueError(f"columns of these names are results: {', '.join(RESULTS)}")
-    return _decided(docs, columns, topics, keep, power, targets, seed, max_cells, sample_docs, sample_bytes).select("row.*", *RESULTS)
+    return _decided(docs, columns, topics, keep, power, targets, seed, max_cells).select("row.*", *RESULTS)
 
 
-def sample(docs: DataFrame, topics: int = TOPICS, keep: float = KEEP, power: float = POWER, targets: list[dict] | None = None, seed: int = SEED, max_cells: int = MAX_CELLS, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def sample(docs: DataFrame, topics: int = TOPICS, keep: float = KEEP, power: float = POWER, targets: list[dict] | None = None, seed: int = SEED, max_cells: int = MAX_CELLS) -> DataFrame:
     """The sampled rows as they are."""
-    return _decided(docs, docs.columns, topics, keep, power, targets, seed, max_cells, sample_docs, sample_bytes).where("_rw_sampled").select("row.*")
+    return _decided(docs, docs.columns, topics, keep, power, targets, seed, max_cells).where("_rw_sampled").select("row.*")

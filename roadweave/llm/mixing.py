@@ -51,6 +51,8 @@ MAX_CELLS, ROUNDS, CLOSE = 50_000, 200, 1e-9
 WORD = np.dtype([("word", "<u2"), ("n", "<u4")])
 #: Rows scored at a time, few enough for the processor's cache.
 BLOCK = 128
+#: Texts whose words stand in one row while topics are fitted, and bytes of words a task writes so.
+LOT, TASK_BYTES = 1024, 16 << 20
 RESULTS = ("_rw_topic", "_rw_tokens", "_rw_weight", "_rw_probability", "_rw_sampled")
 
 
@@ -157,7 +159,7 @@ def next_shares(words: Words, logs: np.ndarray, prior: np.ndarray) -> np.ndarray
 
 
 def _fit(added: Callable, least: Callable, topics: int, bits: int, rounds: int) -> np.ndarray:
-    """The mixture. ``added(step)`` adds up what a step makes of each batch of words; ``least(rank)``
+    """The mixture. ``added(step)`` adds up what a step makes of each lot of words; ``least(rank)``
     gives the words of the text that ranks lowest, ties by their order."""
     width = 1 << bits
     first = added(partial(totals, width=width))
@@ -166,7 +168,7 @@ def _fit(added: Callable, least: Callable, topics: int, bits: int, rounds: int)
         return np.zeros((width, topics))
 
     def start(rank: Callable) -> np.ndarray:
-        word, value, _ = words = damped([least(rank)])
+        word, value, _ = words = least(rank)
         return np.bincount(word, value / lengths(words)[0], width)[:, None]
 
     mean = first[0, :-1, None] / n
@@ -191,15 +193,42 @@ def fit_topics(texts: list[str], topics: int = TOPICS, bits: int = BITS, rounds:
     """Log-probabilities of the hashed words (rows) under each topic (columns): a mixture of word
     distributions fitted to the texts. It starts from texts that lie apart, the next always the one
     with most that those before it do not share, and runs for the rounds told or until no share of a topic changes."""
-    packed = [w for w in count_words(pa.array(texts, pa.string()), bits)[0] if w]
-    words = damped(packed)
-    return _fit(lambda step: step(words), lambda rank: packed[int(np.round(rank(words), 9).argmin())], topics, bits, rounds)
+    words = damped([w for w in count_words(pa.array(texts, pa.string()), bits)[0] if w])
+    return _fit(lambda step: step(words), lambda rank: one(words, int(np.round(rank(words), 9).argmin())), topics, bits, rounds)
+
+
+def one(words: Words, i: int) -> Words:
+    word, value, size = words
+    end = size[: i + 1].sum()
+    return word[end - size[i] : end], value[end - size[i] : end], size[i : i + 1]
+
+
+def lots_of_words(counted: DataFrame) -> DataFrame:
+    """The damped words of the rows that have some, ``LOT`` texts a row: what each round reads."""
+    rows = lean(counted).where(F.octet_length("words") > 0).select("tie", "words")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, LOT):
+            if b.num_rows:
+                word, value, size = damped(b.column(1).to_pylist())
+                ties = b.column(0).to_numpy(zero_copy_only=False)
+                # values are 256ths below 2**16, which four bytes hold as they are
+                arrays = (ties, size, word.astype("<u2"), value.astype("<f4"))
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["tie", "size", "word", "value"])
+
+    tasks = -(-(rows.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0) // TASK_BYTES)
+    return materialise(rows.coalesce(max(1, tasks)).mapInArrow(gather, "tie binary, size binary, word binary, value binary"), "mix-lots")
+
+
+def read_lots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words]]:
+    for r in batch.to_pylist():
+        yield np.frombuffer(r["tie"], np.int64), (np.frombuffer(r["word"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), np.frombuffer(r["size"], np.int64))
 
 
 def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
     """The same fit over all rows of a table of ``tie`` (their order) and ``words``. A task hands on
     one array or one row."""
-    rows = lean(counted).where(F.octet_length("words") > 0)
+    lots = lots_of_words(counted)
     share = counted.sparkSession.sparkContext.broadcast
 
     def added(step: Callable) -> np.ndarray:
@@ -207,40 +236,42 @@ def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds
         shared = share(step)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = sum((shared.value(damped(b.column(0).to_pylist())) for b in slices(batches, 4096)), 0)
+            sums = sum((shared.value(words) for b in batches for _, words in read_lots(b)), 0)
             if not np.isscalar(sums):
                 yield pa.RecordBatch.from_arrays([pa.array([len(sums)]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, sums = 0, 0
             for b in batches:
-                for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B007
-                    sums = sums + np.frombuffer(s)
+                for r in b.to_pylist():
+                    n, sums = r["n"], sums + np.frombuffer(r["sums"])
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
-        parts = rows.select("words").mapInArrow(part, "n long, sums binary")
-        got = parts.repartition(1).mapInArrow(whole, "n long, sums binary").collect()
+        kind = "n long, sums binary"
+        got = lots.mapInArrow(part, kind).repartition(1).mapInArrow(whole, kind).collect()
         shared.destroy()
         return np.frombuffer(got[0].sums).reshape(got[0].n, -1) if got else np.zeros((2, (1 << bits) + 1))
 
-    def least(rank: Callable) -> bytes:
+    def least(rank: Callable) -> Words:
         shared = share(rank)
 
         def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
-            for b in slices(batches, 4096):
-                words = b.column(1).to_pylist()
-                ranks = np.round(shared.value(damped(words)), 9)
-                for i in np.flatnonzero(ranks == ranks.min()).tolist() if words else []:
-                    here = (float(ranks[i]), b.column(0)[i].as_py(), words[i])
-                    best = min(best or here, here)
+            for b in batches:
+                for ties, words in read_lots(b):
+                    ranks = np.round(shared.value(words), 9)
+                    for i in np.flatnonzero(ranks == ranks.min()).tolist():
+                        word, value, _ = one(words, i)
+                        here = (float(ranks[i]), int(ties[i]), word.tobytes(), value.tobytes())
+                        best = min(best or here, here)
             if best:
-                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]], pa.binary())], names=["rank", "tie", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in best], names=["rank", "tie", "word", "value"])
 
-        got = rows.select("tie", "words").mapInArrow(lowest, "rank double, tie long, words binary").agg(F.min(F.struct("rank", "tie", "words")).alias("r")).first().r
+        found = lots.mapInArrow(lowest, "rank double, tie long, word binary, value binary")
+        got = found.agg(F.min(F.struct(*found.columns)).alias("r")).first().r
         shared.destroy()
-        return bytes(got.words)
+        return np.frombuffer(bytes(got.word), np.int64), np.frombuffer(bytes(got.value)), np.array([len(got.word) // 8])
 
     return _fit(added, least, topics, bits, rounds)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,3 +35,17 @@ def test_topics_come_from_every_row(spark, docs):
     # however the rows are dealt
     for parts in (1, 7):
         assert (mixing.fit_table(mixing.with_words(docs.repartition(parts), ["doc_id"])) == logs).all()
+
+
+def test_the_mixing_stage_draws_by_topics_of_every_row(spark, docs):
+    _, topic = plain_topics(docs)
+    cells = {}
+    for r in docs.collect():
+        key = ("s", "x", topic[r.doc_id])
+        cells[key] = cells.get(key, 0) + len(r.text.split())
+    margins = [{"s": 1}, {"x": 1}, {k[2]: n for k, n in cells.items()}]
+    weights = mixing.rake(cells, [mixing.tempered(m, mixing.POWER) for m in margins])
+    p = mixing.probabilities(cells, weights, mixing.KEEP * sum(cells.values()))
+    u = docs.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(mixing.SEED)), 11) * F.lit(2.0**-53)).alias("u")).collect()
+    drawn = {r.doc_id for r in u if r.u < p["s", "x", topic[r.doc_id]]}
+    assert {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == drawn

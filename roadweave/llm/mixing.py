@@ -49,10 +49,15 @@ MARGINS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS, CLOSE = 50_000, 200, 1e-9
 #: A hashed word of a text and how often it stands there.
 WORD = np.dtype([("word", "<u2"), ("n", "<u4")])
+#: The table of CRC-32, and the most bytes of a word that it is used for.
+CRC, LONGEST = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], np.uint32), 64
 #: Rows scored at a time, few enough for the processor's cache.
 BLOCK = 128
-#: Texts whose words stand in one row while topics are fitted, and bytes of words a task writes so.
-LOT, TASK_BYTES = 1024, 16 << 20
+#: Texts and bytes of words that stand in one row while topics are fitted (few, so that the arrays fit
+#: the processor's cache and are no large objects to the JVM), bytes of words in one file of such rows
+#: (a reader holds its columns whole) and in the files that a task reads (each round starts its tasks
+#: anew, which costs as much as the words of some MB).
+LOT, LOT_BYTES, FILE_BYTES, TASK_BYTES = 1024, 384 << 10, 16 << 20, 64 << 20
 RESULTS = ("_rw_topic", "_rw_tokens", "_rw_weight", "_rw_probability", "_rw_sampled")
 
 
@@ -60,14 +65,37 @@ def bucket(word: str, bits: int = BITS) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % (1 << bits)
 
 
+def buckets(words: pa.LargeStringArray, bits: int = BITS) -> np.ndarray:
+    """``bucket`` of many words, one byte of each at a time. White space at either end of a text
+    leaves empty words, which are none: -1."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    size = np.diff(ends)
+    # the shortest first, so that words with a byte at some place end the list
+    order = np.argsort(np.minimum(size, LONGEST + 1).astype(np.uint8), kind="stable")
+    begin, upto = ends[:-1][order], np.cumsum(np.bincount(np.minimum(size, LONGEST + 1), minlength=LONGEST + 2))
+    crc = np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for place in range(LONGEST):
+        rest = crc[upto[place] :]
+        if not len(rest):
+            break
+        low = (rest ^ data[begin[upto[place] :] + place]) & 255
+        rest >>= 8
+        rest ^= CRC[low]
+    at = np.empty(len(size), np.int64)
+    at[order] = (crc ^ 0xFFFFFFFF) % (1 << bits)
+    for i in order[upto[LONGEST] :].tolist():
+        at[i] = zlib.crc32(data[ends[i] : ends[i + 1]]) % (1 << bits)
+    at[size == 0] = -1
+    return at
+
+
 def count_words(texts: pa.Array, bits: int = BITS) -> tuple[list[bytes], np.ndarray]:
     """Each text's hashed words with their counts, as bytes, and its number of words."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
-    numbered = lists.flatten().dictionary_encode()
     each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    # white space at either end leaves empty words, which are none
-    at = np.fromiter((bucket(w, bits) if w else -1 for w in numbered.dictionary.to_pylist()), np.int64, len(numbered.dictionary))
-    at = at[numbered.indices.to_numpy(zero_copy_only=False)]
+    at = buckets(lists.flatten(), bits)
     key = (np.repeat(np.arange(len(each)), each) << bits) | at
     key = np.sort(key[at >= 0])
     first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -89,19 +117,31 @@ def unpack(words: list[bytes]) -> Words:
 def damped(words: list[bytes]) -> Words:
     """The same with square roots of the counts, so that no frequent word decides alone."""
     word, n, size = unpack(words)
-    return word, np.round(np.sqrt(n) * 256) / 256, size
+    return word, roots(n), size
+
+
+def roots(n: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(n) * 256) / 256
+
+
+#: Damped counts that a byte tells; its last value stands for all greater ones.
+ROOTS = roots(np.arange(256))
 
 
 def weigh(words: Words, table: np.ndarray) -> np.ndarray:
     """Sums of each text's values times the rows of a table (words by columns); texts have words."""
     word, value, size = words
-    ends, got, columns = np.cumsum(size), np.empty((len(size), table.shape[1])), np.ascontiguousarray(table.T)
+    ends, got, columns = np.cumsum(size), np.empty((table.shape[1], len(size))), np.ascontiguousarray(table.T)
     for i in range(0, len(size), BLOCK):
         starts = (ends - size)[i : i + BLOCK]
         a, b = starts[0], ends[i : i + BLOCK][-1]
-        for k, column in enumerate(columns):
-            got[i : i + BLOCK, k] = np.add.reduceat(column.take(word[a:b]) * value[a:b], starts - a)
-    return got
+        at, by, product = word[a:b], value[a:b], np.empty(b - a)
+        for column, sums in zip(columns, got, strict=True):
+            # words are in range; with "clip" numpy writes in place
+            column.take(at, out=product, mode="clip")
+            product *= by
+            np.add.reduceat(product, starts - a, out=sums[i : i + BLOCK])
+    return np.ascontiguousarray(got.T)
 
 
 def lengths(words: Words) -> np.ndarray:
@@ -119,19 +159,21 @@ def totals(words: Words, width: int) -> np.ndarray:
 def shares(words: Words, post: np.ndarray, width: int) -> np.ndarray:
     """Sums of the values by topic and word under these shares of topics; last, the shares' sums."""
     word, value, size = words
-    topics = post.shape[1]
-    sums = np.zeros((topics, width))
-    order = np.argsort(-post, axis=1, kind="stable")
-    for rank in range(topics):  # most texts have few topics
-        topic = order[:, rank]
-        p = post[np.arange(len(post)), topic]
-        some = p > 0
-        if not some.any():
-            break
-        entries = np.repeat(some, size)
-        key = np.repeat((topic * width)[some], size[some]) + word[entries]
-        sums += np.bincount(key, value[entries] * np.repeat(p[some], size[some]), topics * width).reshape(topics, width)
-    return np.column_stack([sums, post.sum(0)])
+    each, topics = np.arange(len(post)), post.shape[1]
+    top = post.argmax(1)
+    key, value_there = np.repeat(top * width, size), np.repeat(post[each, top], size)
+    key += word
+    value_there *= value
+    sums = np.bincount(key, value_there, topics * width)
+    # most texts have one topic; the words of the others are taken again
+    rest = post.copy()
+    rest[each, top] = 0
+    text, topic = np.nonzero(rest)
+    if len(text):
+        n = size[text]
+        at = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[text] - np.cumsum(n) + n, n)
+        sums += np.bincount(np.repeat(topic * width, n) + word[at], value[at] * np.repeat(rest[text, topic], n), topics * width)
+    return np.column_stack([sums.reshape(topics, width), post.sum(0)])
 
 
 def unlike_mean(words: Words, mean: np.ndarray) -> np.ndarray:
@@ -204,25 +246,35 @@ def one(words: Words, i: int) -> Words:
 
 
 def lots_of_words(counted: DataFrame) -> DataFrame:
-    """The damped words of the rows that have some, ``LOT`` texts a row: what each round reads."""
+    """The words of the rows that have some, many texts a row: what each round reads. Counts take a
+    byte each; those of 255 and more stand in ``more``."""
     rows = lean(counted).where(F.octet_length("words") > 0).select("tie", "words")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, LOT):
+        for b in slices(batches, LOT, LOT_BYTES):
             if b.num_rows:
-                word, value, size = damped(b.column(1).to_pylist())
+                word, n, size = unpack(b.column(1).to_pylist())
                 ties = b.column(0).to_numpy(zero_copy_only=False)
-                # values are 256ths below 2**16, which four bytes hold as they are
-                arrays = (ties, size, word.astype("<u2"), value.astype("<f4"))
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["tie", "size", "word", "value"])
+                arrays = (ties, size.astype("<u4"), word.astype("<u2"), np.minimum(n, 255).astype("u1"), n[n >= 255].astype("<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["tie", "size", "word", "n", "more"])
+
+    whole = rows.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    lots = rows.coalesce(max(1, -(-whole // FILE_BYTES))).mapInArrow(gather, "tie binary, size binary, word binary, n binary, more binary")
+    return materialise(lots, "mix-lots").coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-whole // TASK_BYTES)))
 
-    tasks = -(-(rows.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0) // TASK_BYTES)
-    return materialise(rows.coalesce(max(1, tasks)).mapInArrow(gather, "tie binary, size binary, word binary, value binary"), "mix-lots")
 
+def read_lots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray | None, Words]]:
+    """Each lot's ties, where the batch has them, and its damped words."""
 
-def read_lots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words]]:
-    for r in batch.to_pylist():
-        yield np.frombuffer(r["tie"], np.int64), (np.frombuffer(r["word"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), np.frombuffer(r["size"], np.int64))
+    def column(name: str, kind: str) -> Iterator[np.ndarray]:
+        return (np.frombuffer(x.as_buffer(), kind) for x in batch.column(name))
+
+    ties = column("tie", "<i8") if "tie" in batch.schema.names else [None] * batch.num_rows
+    for tie, size, word, n, more in zip(ties, column("size", "<u4"), column("word", "<u2"), column("n", "u1"), column("more", "<u4"), strict=True):
+        value = ROOTS.take(n)
+        if len(more):
+            value[n == 255] = roots(more.astype(float))
+        yield tie, (word.astype(np.int64), value, size.astype(np.int64))
 
 
 def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
@@ -236,8 +288,12 @@ def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds
         shared = share(step)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = sum((shared.value(words) for b in batches for _, words in read_lots(b)), 0)
-            if not np.isscalar(sums):
+            sums = None
+            for b in batches:
+                for _, words in read_lots(b):
+                    got = shared.value(words)
+                    sums = got if sums is None else np.add(sums, got, out=sums)
+            if sums is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([len(sums)]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +305,7 @@ def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
         kind = "n long, sums binary"
-        got = lots.mapInArrow(part, kind).repartition(1).mapInArrow(whole, kind).collect()
+        got = lots.drop("tie").mapInArrow(part, kind).repartition(1).mapInArrow(whole, kind).collect()
         shared.destroy()
         return np.frombuffer(got[0].sums).reshape(got[0].n, -1) if got else np.zeros((2, (1 << bits) + 1))
 

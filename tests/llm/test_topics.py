@@ -49,3 +49,31 @@ def test_the_mixing_stage_draws_by_topics_of_every_row(spark, docs):
     u = docs.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(mixing.SEED)), 11) * F.lit(2.0**-53)).alias("u")).collect()
     drawn = {r.doc_id for r in u if r.u < p["s", "x", topic[r.doc_id]]}
     assert {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == drawn
+
+
+@pytest.fixture(scope="module")
+def wordy(spark):
+    """Texts of many different words, and one that repeats a word more often than a byte counts."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(4000)}" for _ in range(300)) for _ in range(1100)] + ["often " * 400 + "seldom " * 255 + "once", "", None]
+    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    return mixing.materialise(mixing.with_words(docs, ["doc_id"]), "wordy")
+
+
+def test_rounds_of_the_fit_read_three_bytes_a_word(wordy):
+    """op2_mixing_weights read six in each of its rounds, and hashed words one by one."""
+    texts = {r.tie: bytes(r.words) for r in wordy.collect() if r.words}
+    assert sum(len(r.word) + len(r.n) for r in mixing.lots_of_words(wordy).collect()) == 3 * sum(map(len, texts.values())) // mixing.WORD.itemsize
+    seen = {}
+    for batch in mixing.lots_of_words(wordy).toArrow().to_batches():
+        for ties, (word, value, size) in mixing.read_lots(batch):
+            for i, tie in enumerate(ties.tolist()):
+                seen[tie] = [x.tolist() for x in mixing.one((word, value, size), i)]
+    assert seen == {tie: [x.tolist() for x in mixing.damped([w])] for tie, w in texts.items()}
+
+
+def test_many_words_are_hashed_as_one_is():
+    words = ["", "a", "é" * 31 + "ab", "x" * 64, "y" * 65, "z" * 5000, "日本語", "\U0001f600", "", "a"]
+    for at in (0, 3):
+        some = mixing.pa.array(words, mixing.pa.large_string()).slice(at)
+        assert mixing.buckets(some).tolist() == [mixing.bucket(w) if w else -1 for w in words[at:]]

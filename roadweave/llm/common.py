@@ -36,6 +36,13 @@ def release() -> None:
         pass  # another C library
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """The same for executors: a heap else stays as large as its largest stage made it, beside the
+    Python workers of the next. A task a core reaches all of them where no other job runs."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def own_cache(name: str, clear: Callable[[], None]) -> None:
     """Python workers outlive stages: the operator that begins in one drops the last one's caches."""
     if _OWNER[0] != name:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import TEXT_BYTES, lean, materialise, slices
+from .common import TEXT_BYTES, lean, materialise, own_cache, slices
 
 TOPICS, KEEP, POWER, SEED = 8, 0.5, 0.7, 17
 BITS, TOPIC_ROUNDS = 12, 40
@@ -342,6 +342,7 @@ def with_words(docs: DataFrame, columns: list[str]) -> DataFrame:
     wrapped = lean(docs).select(F.struct(*columns).alias("row"), keys.alias("keys"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("mixing", lambda: None)  # keeps none; what an earlier stage of the pipeline kept goes
         for b in slices(batches, 4096, TEXT_BYTES):
             row, k = b.columns
             words, tokens = count_words((row if inside else k).field(at))

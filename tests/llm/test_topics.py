@@ -1,6 +1,7 @@
 """Topics are fitted to every row: more of them, and longer ones, than the fit once read."""
 
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -77,3 +78,38 @@ def test_many_words_are_hashed_as_one_is():
     for at in (0, 3):
         some = mixing.pa.array(words, mixing.pa.large_string()).slice(at)
         assert mixing.buckets(some).tolist() == [mixing.bucket(w) if w else -1 for w in words[at:]]
+
+
+def test_rounds_of_the_fit_read_no_large_objects(wordy):
+    """The mixing stage read arrays of over a megabyte, which a JVM heap of 1.8 GB keeps apart and grew
+    with; the stage after it was stopped for memory."""
+    rows = mixing.lots_of_words(wordy).collect()
+    assert len(rows) > 2 and max(len(x) for r in rows for x in r) < 512 << 10
+
+
+def test_mixing_drops_what_earlier_stages_cached(spark, tmp_path):
+    docs = spark.range(0, 32, 1, 32).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"), F.lit("x").alias("lang"))
+
+    def cached(batches):
+        from roadweave.llm import common
+
+        common.own_cache("earlier", lambda: (tmp_path / "dropped").touch())
+        time.sleep(0.1)  # so that all workers have a part
+        yield from batches
+
+    docs.mapInArrow(cached, docs.schema).collect()
+    assert not (tmp_path / "dropped").exists()
+    mixing.with_words(docs, ["doc_id"]).collect()
+    assert (tmp_path / "dropped").exists()
+
+
+def test_stages_give_back_the_heaps_of_those_before(spark, monkeypatch):
+    collected = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    seen = []
+    for module, name in ((corpus_pipeline.near_copies, "keep_first"), (corpus_pipeline.decontam, "drop_leaks"), (mixing, "sample"), (corpus_pipeline.token_store, "token_table")):
+        monkeypatch.setattr(module, name, lambda docs, *_: seen.append(collected()) or docs)
+    docs = spark.range(1)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        before = collected()
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert seen.pop() > before

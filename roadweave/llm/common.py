@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..plans.scratch import materialise  # noqa: F401  for the operators here
+from ..plans.scratch import materialise, passing  # noqa: F401  for the operators here
 from ..plans.scratch import scratch_path as scratch  # noqa: F401
 
 

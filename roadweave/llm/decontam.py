@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, passing
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 #: Up to this many item shingles are tested as a set within each row.
@@ -123,7 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """Documents whose text holds no item; judged by text, so rows without an id are too."""
-    leaks = materialise(find_leaks(docs, benchmark, **options).select("k1", "k2").distinct(), "leak-keys")
+    with passing(docs.sparkSession):
+        leaks = materialise(find_leaks(docs, benchmark, **options).select("k1", "k2").distinct(), "leak-keys", lasting=True)
     # the rows travel in a struct of their own, so their columns may have any names
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2"))
     known = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks

@@ -8,10 +8,11 @@ Targets are shares, given or tempered from the corpus (its shares to a power, so
 gain on large ones); target values without tokens are left out and the others rescaled.
 
 Topics come from a mixture of word distributions over hashed words, fitted by expectation-
-maximisation to every row that has a word, whole and copies included. Texts are read once: the kept
-columns and each text's hashed words with their counts are written to the shared folder; each round
-of the fit reads those words and adds up one table of words by topics, in multiples of 2**-26, so
-that the sums are exact and the fit does not depend on how rows are dealt (past 2**27 a word and
+maximisation to every row that has a word, whole and copies included. Each text's hashed words with
+their counts and the kept columns are written to the shared folder, but texts are not: where they are
+kept, they are read again to be drawn, which saves two copies of them; else they are read once. Each
+round of the fit reads those words and adds up one table of words by topics, in multiples of 2**-26,
+so that the sums are exact and the fit does not depend on how rows are dealt (past 2**27 a word and
 topic, sums are rounded as doubles are). Every document then takes the topic under which its words
 are likeliest, ties the lower number, a text without words -1. A decision is a hash of the id
 against the probability, so it does not depend on partitions or order.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import TEXT_BYTES, lean, materialise, own_cache, slices
+from .common import TEXT_BYTES, lean, materialise, own_cache, passing, slices
 
 TOPICS, KEEP, POWER, SEED = 8, 0.5, 0.7, 17
 BITS, TOPIC_ROUNDS = 12, 40
@@ -280,7 +281,11 @@ def read_lots(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray | None, Words]
 def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
     """The same fit over all rows of a table of ``tie`` (their order) and ``words``. A task hands on
     one array or one row."""
-    lots = lots_of_words(counted)
+    with passing(counted.sparkSession):
+        return _fit_lots(counted, lots_of_words(counted), topics, bits, rounds)
+
+
+def _fit_lots(counted: DataFrame, lots: DataFrame, topics: int, bits: int, rounds: int) -> np.ndarray:
     share = counted.sparkSession.sparkContext.broadcast
 
     def added(step: Callable) -> np.ndarray:
@@ -332,24 +337,36 @@ def fit_table(counted: DataFrame, topics: int = TOPICS, bits: int = BITS, rounds
     return _fit(added, least, topics, bits, rounds)
 
 
-def with_words(docs: DataFrame, columns: list[str]) -> DataFrame:
+def topics_under(words: list[bytes], logs: np.ndarray) -> np.ndarray:
+    """The likeliest topic of each text, -1 of those without words."""
+    word, n, size = unpack(words)
+    topic, some = np.full(len(size), -1, np.int32), size > 0
+    if some.any():
+        topic[some] = np.round(weigh((word, n, size[some]), logs), 6).argmax(1)
+    return topic
+
+
+def with_words(docs: DataFrame, columns: list[str], logs: np.ndarray | None = None) -> DataFrame:
     """``row`` (a struct of the columns), the margins' source and lang, doc_id, tokens, the row's
-    place among ties and its words."""
+    place among ties and its words; with ``logs`` its topic under them instead of both."""
     inside = "text" in columns  # then it is handed over once, within the row
     at = columns.index("text") if inside else 4
     number = F.col("doc_id").cast("long")
     keys = F.struct("source", "lang", number.alias("doc_id"), F.xxhash64(number, "text").alias("tie"), *([] if inside else ["text"]))
     wrapped = lean(docs).select(F.struct(*columns).alias("row"), keys.alias("keys"))
+    shared = None if logs is None else docs.sparkSession.sparkContext.broadcast(logs)
+    added = {"tie": LongType(), "tokens": LongType(), "words": BinaryType()} if logs is None else {"tokens": LongType(), "topic": IntegerType()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_cache("mixing", lambda: None)  # keeps none; what an earlier stage of the pipeline kept goes
         for b in slices(batches, 4096, TEXT_BYTES):
             row, k = b.columns
             words, tokens = count_words((row if inside else k).field(at))
-            yield pa.RecordBatch.from_arrays([row, *(k.field(i) for i in range(4)), pa.array(tokens), pa.array(words, pa.binary())], names=["row", "source", "lang", "doc_id", "tie", "tokens", "words"])
+            more = [k.field(3), pa.array(tokens), pa.array(words, pa.binary())] if shared is None else [pa.array(tokens), pa.array(topics_under(words, shared.value))]
+            yield pa.RecordBatch.from_arrays([row, *(k.field(i) for i in range(3)), *more], names=["row", "source", "lang", "doc_id", *added])
 
     kinds = wrapped.schema["keys"].dataType
-    return wrapped.mapInArrow(count, StructType([wrapped.schema["row"], *(kinds[c] for c in ("source", "lang", "doc_id", "tie")), StructField("tokens", LongType()), StructField("words", BinaryType())]))
+    return wrapped.mapInArrow(count, StructType([wrapped.schema["row"], *(kinds[c] for c in ("source", "lang", "doc_id")), *(StructField(c, kind) for c, kind in added.items())]))
 
 
 def with_topics(counted: DataFrame, logs: np.ndarray) -> DataFrame:
@@ -359,10 +376,7 @@ def with_topics(counted: DataFrame, logs: np.ndarray) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096, TEXT_BYTES):
-            words = unpack(b.column(5).to_pylist())
-            topic, some = np.full(b.num_rows, -1, np.int32), words[2] > 0
-            if some.any():
-                topic[some] = np.round(weigh((*words[:2], words[2][some]), shared.value), 6).argmax(1)
+            topic = topics_under(b.column(5).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(topic)], names=[*kept, "topic"])
 
     return lean(counted).select(*kept, "words").mapInArrow(mark, StructType([*(counted.schema[c] for c in kept), StructField("topic", IntegerType())]))
@@ -478,10 +492,17 @@ def cell_table(spark: SparkSession, cells: DataFrame, keep: float = KEEP, power:
 
 def _decided(docs: DataFrame, columns: list[str], topics: int, keep: float, power: float, targets: list[dict] | None, seed: int, max_cells: int) -> DataFrame:
     """``row`` (a struct of the columns) with the results."""
-    counted = materialise(with_words(docs, columns), "mix-words")
-    logs = fit_table(counted, topics)
-    marked = materialise(with_topics(counted, logs), "mix-marked")
-    cells = marked.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    again = "text" in columns
+    by_cell = lambda rows: rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    with passing(docs.sparkSession):
+        counted = materialise(with_words(docs, ["doc_id"] if again else columns), "mix-words")
+        logs = fit_table(counted, topics)
+        marked = with_topics(counted, logs)
+        if again:
+            cells, marked = materialise(by_cell(marked), "mix-margins", lasting=True), with_words(docs, columns, logs)
+        else:
+            marked = materialise(marked, "mix-marked", lasting=True)
+            cells = by_cell(marked)
     cells = cell_table(docs.sparkSession, cells, keep, power, targets, max_cells)
     cells = cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "weight", "probability")
     on = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("topic") == F.col("_topic"))

@@ -1,7 +1,10 @@
 """The pipeline's stages, one after the other."""
 
+from pathlib import Path
+
 import corpus_pipeline
-from roadweave.llm import decontam, near_copies
+from roadweave.llm import decontam, mixing, near_copies
+from roadweave.plans import scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -114,3 +117,35 @@ def test_count_filter_loses_less_than_the_postings():
     n, s = near_copies.POSITIONS, near_copies.SIMILARITY
     lost = sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(near_copies.tally_limit(s)))
     assert lost < (1 - s**near_copies.GROUP) ** (n // near_copies.GROUP) / 10
+
+
+def tables_of(spark):
+    """The tables in the scratch folder and their bytes of data."""
+    top = Path(scratch.shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId)
+    return {p: sum(f.stat().st_size for f in p.glob("part-*")) for p in top.glob("*")} if top.exists() else {}
+
+
+def test_stages_leave_no_tables_of_their_work(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    whole = sum(Path(x.removeprefix("file://")).stat().st_size for x in docs.inputFiles())
+    written = []
+    monkeypatch.setattr(mixing, "materialise", lambda df, tag, **more: written.append(df.schema.simpleString()) or scratch.materialise(df, tag, **more))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = tables_of(spark)
+        after = stage(spark, docs, DATA)
+        left = {p.name: n for p, n in tables_of(spark).items() if p not in before}
+        assert sum(left.values()) < whole / 20, (name, left)
+        # what is left is all that the rows need
+        assert after.count() > 0, name
+    assert written and not any("text:" in kind for kind in written)
+
+
+def test_only_lasting_tables_outlive_what_they_were_written_for(spark):
+    with scratch.passing(spark):
+        with scratch.passing(spark):
+            gone = scratch.materialise(spark.range(3), "gone")
+            stays = scratch.materialise(gone.selectExpr("id + 1 AS id"), "stays", lasting=True)
+        assert sorted(r.id for r in stays.collect()) == [1, 2, 3]
+        last = scratch.materialise(stays, "last", lasting=True)
+    assert sorted(r.id for r in last.collect()) == [1, 2, 3]
+    assert {p.name.split("-")[0] for p in tables_of(spark)} & {"gone", "stays", "last"} == {"last"}

@@ -23,9 +23,9 @@ def geo_distance_line_line(net: Network) -> DataFrame:
     """Lines within thirty metres of each other, and how far apart they are."""
     f = Streets(net).features
     one, other = T.by_cell(f, ["feature"], 0.0), T.by_cell(f, ["feature"], 30.0)
-    pairs = one.select(F.col("feature").alias("a"), "cx", "cy").join(other.select(F.col("feature").alias("b"), "cx", "cy"), ["cx", "cy"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = one.select(F.col("feature").alias("a"), "cx", "cy").join(other.select(F.col("feature").alias("b"), "cx", "cy").hint("merge"), ["cx", "cy"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: f.select(F.col("feature").alias(n), F.col("line").alias(f"line_{n}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("d", G.distance_to_line(F.col("line_a"), F.col("line_b")))
+    j = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").withColumn("d", G.distance_to_line(F.col("line_a"), F.col("line_b")))
     return j.where("d <= 30").select("a", "b", F.round("d", 4).alias("distance"))
 
 
